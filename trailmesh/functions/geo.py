@@ -148,37 +148,49 @@ def cells(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, size: float) -
     return F.flatten(F.transform(F.sequence(cell(lo_x), cell(hi_x)), lambda i: F.transform(F.sequence(cell(lo_y), cell(hi_y)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: bound as a lambda's variable, so that the optimizer doesn't copy it into each use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def near_interval(a: Column, q: Column, radius: float) -> Column:
     """struct<lo, hi>: the part of segment a, as shares of it, within radius of segment q; null if none.
 
     Places within radius of a segment are a convex set, two discs and a rectangle, so the part is one interval: from
     the first of the three parts' starts to the last of their ends.
     """
-    ux, uy = a.bx - a.ax, a.by - a.ay
-    uu = ux * ux + uy * uy
-
-    def disc(cx: Column, cy: Column) -> tuple[Column, Column]:
-        fx, fy = a.ax - cx, a.ay - cy
-        b, c = ux * fx + uy * fy, fx * fx + fy * fy - radius * radius
-        root = F.sqrt(F.greatest(b * b - uu * c, F.lit(0.0)))
-        ok = b * b - uu * c >= 0
-        return F.when(ok, (-b - root) / uu), F.when(ok, (-b + root) / uu)
-
-    vx, vy = q.bx - q.ax, q.by - q.ay
-    l = F.sqrt(vx * vx + vy * vy)
-    wx, wy = vx / F.when(l > 0, l), vy / F.when(l > 0, l)
-    along0, along1 = (a.ax - q.ax) * wx + (a.ay - q.ay) * wy, ux * wx + uy * wy
-    across0, across1 = (a.ax - q.ax) * wy - (a.ay - q.ay) * wx, ux * wy - uy * wx
-
-    def slab(v0: Column, v1: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-        flat = F.when((v0 >= lo) & (v0 <= hi), F.lit(-1e18)), F.when((v0 >= lo) & (v0 <= hi), F.lit(1e18))
-        step = F.when(v1 != 0, v1)
-        return F.when(v1 == 0, flat[0]).otherwise(F.least((lo - v0) / step, (hi - v0) / step)), F.when(v1 == 0, flat[1]).otherwise(F.greatest((lo - v0) / step, (hi - v0) / step))
-
-    s, t = slab(along0, along1, F.lit(0.0), l), slab(across0, across1, F.lit(-radius), F.lit(radius))
-    none = s[0].isNull() | t[0].isNull() | (F.greatest(s[0], t[0]) > F.least(s[1], t[1]))
-    rect = F.when(~none, F.greatest(s[0], t[0])), F.when(~none, F.least(s[1], t[1]))
-    d1, d2 = disc(q.ax, q.ay), disc(q.bx, q.by)
-    lo, hi = F.greatest(F.least(d1[0], d2[0], rect[0]), F.lit(0.0)), F.least(F.greatest(d1[1], d2[1], rect[1]), F.lit(1.0))
-    some = F.coalesce(d1[0], d2[0], rect[0]).isNotNull()
-    return F.when(some & (uu > 0) & (lo < hi), F.struct(lo.alias("lo"), hi.alias("hi")))
+    named = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+
+    def frame(s: Column) -> Column:
+        a, q = s.a, s.q
+        vx, vy = q.bx - q.ax, q.by - q.ay
+        return named(ux=a.bx - a.ax, uy=a.by - a.ay, px=a.ax - q.ax, py=a.ay - q.ay, rx=a.ax - q.bx, ry=a.ay - q.by, vx=vx, vy=vy, l=F.sqrt(vx * vx + vy * vy))
+
+    def turned(v: Column) -> Column:
+        wx, wy = F.try_divide(v.vx, v.l), F.try_divide(v.vy, v.l)
+        near = lambda x, y: x * x + y * y - radius * radius
+        return named(
+            uu=v.ux * v.ux + v.uy * v.uy, b1=v.ux * v.px + v.uy * v.py, c1=near(v.px, v.py), b2=v.ux * v.rx + v.uy * v.ry, c2=near(v.rx, v.ry), l=v.l,
+            along0=v.px * wx + v.py * wy, along1=v.ux * wx + v.uy * wy, across0=v.px * wy - v.py * wx, across1=v.ux * wy - v.uy * wx,
+        )
+
+    def parts(w: Column) -> Column:
+        def disc(b: Column, c: Column, sign: int) -> Column:
+            inside = b * b - w.uu * c
+            return F.when(inside >= 0, F.try_divide(-b + sign * F.sqrt(inside), w.uu))
+
+        def slab(v0: Column, v1: Column, lo: Column, hi: Column, pick, far: float) -> Column:
+            return F.when(v1 == 0, F.when((v0 >= lo) & (v0 <= hi), far)).otherwise(pick(F.try_divide(lo - v0, v1), F.try_divide(hi - v0, v1)))
+
+        zero, r = F.lit(0.0), F.lit(float(radius))
+        start = (slab(w.along0, w.along1, zero, w.l, F.least, -1e18), slab(w.across0, w.across1, -r, r, F.least, -1e18))
+        end = (slab(w.along0, w.along1, zero, w.l, F.greatest, 1e18), slab(w.across0, w.across1, -r, r, F.greatest, 1e18))
+        both = lambda c, pick: F.when(c[0].isNotNull() & c[1].isNotNull(), pick(*c))
+        return named(d1=disc(w.b1, w.c1, -1), e1=disc(w.b1, w.c1, 1), d2=disc(w.b2, w.c2, -1), e2=disc(w.b2, w.c2, 1), s=both(start, F.greatest), e=both(end, F.least))
+
+    def hull(z: Column) -> Column:
+        rect = z.s <= z.e
+        return named(lo=F.greatest(F.least(z.d1, z.d2, F.when(rect, z.s)), F.lit(0.0)), hi=F.least(F.greatest(z.e1, z.e2, F.when(rect, z.e)), F.lit(1.0)), some=z.d1.isNotNull() | z.d2.isNotNull() | F.coalesce(rect, F.lit(False)))
+
+    found = let(let(let(let(named(a=a, q=q), frame), turned), parts), hull)
+    return let(found, lambda h: F.when(h.some & (h.lo < h.hi), F.struct(h.lo.alias("lo"), h.hi.alias("hi"))))

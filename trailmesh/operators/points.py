@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-PHONE = Window.partitionBy("phone_id")
-BY_TIME = PHONE.orderBy("ts")
-SO_FAR = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_time():
+    return Window.partitionBy("phone_id").orderBy("ts")
+
+
+def so_far():
+    return by_time().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def parse_time(text: Column) -> Column:
@@ -49,7 +53,7 @@ def clean(points: DataFrame) -> DataFrame:
 
 def deltas(points: DataFrame) -> DataFrame:
     """With d metres, t seconds, s km/h since the phone's previous point (0 at its first) and new_phone."""
-    before = lambda c: F.lag(c).over(BY_TIME)
+    before = lambda c: F.lag(c).over(by_time())
     p = points.withColumn("new_phone", before("ts").isNull())
     p = p.withColumn("d", F.coalesce(geo.distance(F.col("x"), F.col("y"), before("x"), before("y")), F.lit(0.0)))
     p = p.withColumn("t", F.coalesce((F.col("ts") - before("ts")).cast("double"), F.lit(0.0)))
@@ -66,7 +70,7 @@ def gap_cuts(points: DataFrame, gap: float = 3600) -> DataFrame:
 def trip_groups(points: DataFrame, stop_kmh: float = 1) -> DataFrame:
     """With low_speed, and trip_group: a running count of cuts and slow points for each phone."""
     p = points.withColumn("low_speed", F.col("s") < stop_kmh)
-    return p.withColumn("trip_group", F.sum((F.col("cut") | F.col("low_speed")).cast("int")).over(SO_FAR))
+    return p.withColumn("trip_group", F.sum((F.col("cut") | F.col("low_speed")).cast("int")).over(so_far()))
 
 
 def noise_trips(points: DataFrame, idle: float = 200) -> DataFrame:
@@ -79,7 +83,7 @@ def noise_trips(points: DataFrame, idle: float = 200) -> DataFrame:
 def stop_flags(points: DataFrame, stop_seconds: float = 600) -> DataFrame:
     """stop: slow or noise, except in stops (with the moving point before them) shorter than stop_seconds."""
     p = points.withColumn("stop", F.col("low_speed") | F.col("noise"))
-    p = p.withColumn("stop_group", F.sum((~F.col("stop")).cast("int")).over(SO_FAR))
+    p = p.withColumn("stop_group", F.sum((~F.col("stop")).cast("int")).over(so_far()))
     w = Window.partitionBy("phone_id", "stop_group")
     return p.withColumn("stop", F.col("stop") & (F.max("ts").over(w) - F.min("ts").over(w) >= stop_seconds))
 
@@ -88,7 +92,7 @@ def number_tracks(points: DataFrame) -> DataFrame:
     """Each stop twice, as the end of a track (stop false) and the start of the next; track_no counts them by phone."""
     twice = F.explode(F.when(F.col("stop"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
     p = points.select(*[c for c in points.columns if c != "stop"], twice.alias("stop"))
-    w = PHONE.orderBy("ts", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("phone_id").orderBy("ts", "stop").rowsBetween(Window.unboundedPreceding, 0)
     return p.withColumn("track_no", F.sum((F.col("stop") | F.col("cut")).cast("int")).over(w))
 
 

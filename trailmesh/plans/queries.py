@@ -73,7 +73,7 @@ NUMBERED = STOPS + """, twice as (
 ), numbered as (select *, cast(sum(cast(stop or cut as int)) over (partition by phone_id order by ts, stop rows unbounded preceding) as bigint) as track_no from twice)"""
 TRACKED = NUMBERED + """, tracked as (
   select *, concat(year(make_timestamp(ts * 1000000)), '-', month(make_timestamp(ts * 1000000)), '-', day(make_timestamp(ts * 1000000))) as day from numbered
-  qualify sum(t) over w > 120 and (max(x) over w - min(x) over w > 200 or max(y) over w - min(y) over w > 200) window w as (partition by phone_id, track_no)
+  window w as (partition by phone_id, track_no) qualify sum(t) over w > 120 and (max(x) over w - min(x) over w > 200 or max(y) over w - min(y) over w > 200)
 )"""
 STEPS = TRACKED + """, places as (select * from tracked qualify row_number() over (partition by phone_id, x, y order by ts, stop) = 1),
 steps0 as (
