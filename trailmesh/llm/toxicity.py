@@ -134,14 +134,18 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_chars: int) -> list:
     """Labelled rows (text, y) outside of held_out(): of classes 0 and 1 the per_class[0] and [1] first by hash of id, among texts of at most max_chars characters. The bound of what the driver gets."""
-    y = F.col(label).cast("int").alias("y")
-    own = labels.select(F.col("doc_id").alias("_label_id"), y).filter("y is not null").dropDuplicates(["_label_id"])
-    both = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(own, F.col("doc_id") == F.col("_label_id"))
-    fit = both.filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "y")
-    rows = []
-    for k in (0, 1):
-        rows += fit.filter(F.col("y") == k).orderBy("h", "doc_id", "text").limit(per_class[k]).collect()
-    return rows
+    spark = docs.sparkSession
+    own = labels.select(F.col("doc_id").alias("_label_id"), F.col(label).cast("int").alias("y")).filter("y is not null").dropDuplicates(["_label_id"])
+    short = F.coalesce(F.length("text"), F.lit(0)) <= max_chars
+    # ids alone are joined with labels and chosen; only the chosen rows' texts move, so their number bounds what is sent
+    ids = docs.filter(~held_out(F.col("doc_id")) & short).select("doc_id").join(own, F.col("doc_id") == F.col("_label_id")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "y").distinct()
+    chosen = [(r.doc_id, r.y) for k in (0, 1) for r in ids.filter(F.col("y") == k).orderBy("h", "doc_id").limit(per_class[k]).collect()]
+    if not chosen:
+        return []
+    picked = spark.createDataFrame(chosen, f"_label_id {dict(docs.dtypes)['doc_id']}, y int")
+    texts = docs.filter(short).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_label_id"))
+    rows = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()  # a repeated id gives its smallest text
+    return sorted(rows, key=lambda r: (r.y, r.doc_id))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: tuple[int, int] = (3000, 1500), max_chars: int = 30_000) -> DataFrame:
