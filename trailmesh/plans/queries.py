@@ -318,8 +318,8 @@ def homes_per_zone(spark, d):
     return _by_zone(spark, d).select("zone_id", F.col("nbr_domicile").cast("long").alias("nbr_domicile"), *_r("repr_rate_home"))
 
 
-@query(BY_ZONE + """, own as (select cast(nbr_domicile as double) as x, cast(population_totale as double) as y from rated where repr_rate_home > 0), a as (select sum(x * y) / sum(x * x) as slope from own)
-select round(slope, 6) as slope, round(1 - sum((y - slope * x) * (y - slope * x)) / sum((y - m) * (y - m)), 6) as r2, count(*) as n from own, a, (select avg(y) as m from own) group by slope""")
+@query(BY_ZONE + """, fitted as (select cast(nbr_domicile as double) as x, cast(population_totale as double) as y from rated where repr_rate_home > 0), a as (select sum(x * y) / sum(x * x) as slope from fitted)
+select round(slope, 6) as slope, round(1 - sum((y - slope * x) * (y - slope * x)) / sum((y - m) * (y - m)), 6) as r2, count(*) as n from fitted, a, (select avg(y) as m from fitted) group by slope""")
 def repr_regression(spark, d):
     return stats.through_origin(_by_zone(spark, d), "nbr_domicile", "population_totale", "repr_rate_home").select(*_r("slope", "r2"), "n")
 
