@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_bounds, held_out
 
-WORDS = re.compile(r"\w+").findall
+#: Words hold a letter or mark; numbers alone say nothing of tone.
+WORDS = re.compile(r"\w*[^\W\d]\w*").findall
 SIZES = (3, 4, 5)
 
 
@@ -81,11 +82,12 @@ class Model:
         return np.array([max(map(get, b)) if b else self.bias for b in bags], dtype=float)
 
 
-def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 120, rate: float = 0.05, decay: float = 1e-4, seed: int = 6) -> Model:
+def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 120, rate: float = 0.05, decay: float = 0.1, min_docs: int = 3, seed: int = 6) -> Model:
     """Learns embeddings and softmax together, from labelled whole texts, by Adam on all of them at once.
 
     A text's logit is the log of the mean of exp over its distinct words' logits weighted to their largest, so the
     gradient goes to the words that make it; clean texts push down all words that stand out in them.
+    Buckets met fewer than min_docs times, by distinct words of each text, keep an embedding of zero: by them a text would be learnt by heart.
     Without both labels the model is constant, at the labels' share.
     """
     y = np.array(labels, dtype=float)
@@ -100,11 +102,13 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
     start = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     full = np.flatnonzero(np.diff(start))
     bucket, word = grams(vocabulary, buckets)
+    share = 1 / np.bincount(word, minlength=len(vocabulary))
+    spread = np.bincount(bucket, np.bincount(item, minlength=len(vocabulary))[word], buckets)
+    bucket, word = bucket[spread[bucket] >= min_docs], word[spread[bucket] >= min_docs]
     order = np.argsort(bucket, kind="stable")
     used, at = np.unique(bucket[order], return_index=True)
     local = np.empty(len(bucket), np.int32)
     local[order] = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(np.append(at, len(bucket))))
-    share = 1 / np.bincount(word, minlength=len(vocabulary))
     rng = np.random.default_rng(seed)
     e, u, b = rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.5, dim), np.array([-3.0])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
