@@ -220,7 +220,7 @@ def parse(stream) -> Iterator[dict]:
             yield {"page_id": number("X-Page-Id"), "url": head["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": number("X-Refers-To-Page-Id"), "payload": payload if kind == "response" else None}
 
 
-def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+def read_warc(manifest: DataFrame, folder: str, payloads: bool = True, most_tasks: int = 20_000) -> DataFrame:
     """The records of a folder that write_warc() made: READ's columns, payload null in revisits, and left out if not payloads. A file that isn't whole raises."""
     names = [x.split()[0] for x in READ.split(", ")][: None if payloads else -1]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -240,5 +240,7 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    spread = manifest.select("shard").repartition(F.col("shard"))
+    # a number of partitions that is given isn't coalesced by adaptive execution, which would read these few bytes of names in one task
+    tasks = max(1, min(manifest.count(), most_tasks))
+    spread = manifest.select("shard").repartition(tasks, F.col("shard"))
     return spread.mapInArrow(read, ", ".join(x for x in READ.split(", ") if x.split()[0] in names))
