@@ -94,12 +94,18 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
         return Model(np.zeros(2, np.float32), float(np.log(share / (1 - share))))
-    bags = [sorted(set(WORDS((t or "").lower()))) for t in texts]
-    vocabulary = sorted(set().union(*bags))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    item = np.fromiter((number[w] for b in bags for w in b), np.int64, len(doc))
-    start = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    # texts become word numbers one by one, so the driver never holds all their words as strings
+    met: dict[str, int] = {}
+    own = [np.fromiter({met.setdefault(w, len(met)) for w in WORDS((t or "").lower())}, np.int32) for t in texts]
+    size = np.array([len(b) for b in own])
+    vocabulary = sorted(met)
+    place = np.empty(len(met), np.int32)
+    place[[met[w] for w in vocabulary]] = np.arange(len(met), dtype=np.int32)
+    del met
+    item = np.concatenate([np.sort(place[b]) for b in own])
+    del own
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    start = np.concatenate([[0], np.cumsum(size)])
     full = np.flatnonzero(np.diff(start))
     bucket, word = grams(vocabulary, buckets)
     share = 1 / np.bincount(word, minlength=len(vocabulary))
@@ -117,10 +123,10 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
         s = e @ u
         z = np.bincount(word, s[local], len(vocabulary)) * share + b[0]
         zi = z[item]
-        top = np.full(len(bags), b[0])
+        top = np.full(len(size), b[0])
         top[full] = np.maximum.reduceat(zi, start[full])
         pull = np.exp(zi - top[doc])
-        total = np.bincount(doc, pull, len(bags))
+        total = np.bincount(doc, pull, len(size))
         pull /= total[doc]
         prob = 1 / (1 + np.exp(-top))
         g = (prob - y) * weight
