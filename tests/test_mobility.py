@@ -121,6 +121,15 @@ def test_road_costs_two_ways(spark):
     assert got[0] == got[1] and got[0]
 
 
+def test_sweep_removes_saved_tables(spark):
+    one = tables.saved(spark.range(5), "five")
+    assert one.count() == 5
+    folder = tables._own(spark).removeprefix("file:")
+    assert any(n.startswith("five-") for n in os.listdir(folder))
+    tables.sweep(spark)
+    assert not os.path.exists(folder)
+
+
 def test_decode_takes_the_cheapest_chain(spark):
     rows = [("t", 0, 1, "a", "c", 0.0, 0.0, 0.0, 1.0), ("t", 0, 1, "a", "d", 0.0, 0.0, 0.0, 2.0), ("t", 0, 1, "b", "d", 0.0, 0.0, 0.0, 0.5), ("t", 1, 2, "c", "e", 0.0, 0.0, 0.0, 5.0), ("t", 1, 2, "d", "e", 0.0, 0.0, 0.0, 5.0)]
     df = spark.createDataFrame(rows, "trip_id string, seq int, next_seq int, link_a string, link_b string, offset_a double, offset_b double, route double, cost double")

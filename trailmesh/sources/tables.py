@@ -21,13 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/trailmesh-tables/{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/trailmesh-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes the tables that this application saved(); call it when every result that was derived from them has been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save_model(frames: dict[str, DataFrame], folder: str, omitted: tuple[str, ...] = (), only: tuple[str, ...] | None = None, compression: str = "snappy") -> None:
     """Each frame as Parquet below folder, replacing what was there."""
     for name, df in frames.items():
