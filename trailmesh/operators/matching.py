@@ -69,25 +69,22 @@ def decode(steps: DataFrame) -> DataFrame:
     kinds = dict(steps.dtypes)
 
     def best(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["seq", "link_a", "link_b"], kind="stable").reset_index(drop=True)
-        total: dict[tuple[int, object], tuple[float, int | None]] = {}
-        first = df["seq"].min()
-        for i, r in enumerate(df.itertuples(index=False)):
-            before = (0.0, None) if r.seq == first else total.get((r.seq, r.link_a))
+        seq, after, link_a, link_b, step = (df[c].tolist() for c in ("seq", "next_seq", "link_a", "link_b", "cost"))
+        total: dict[tuple[int, object], tuple[float, int]] = {}
+        first, last = min(seq), max(after)
+        for i in sorted(range(len(seq)), key=lambda i: (seq[i], link_a[i], link_b[i])):
+            before = 0.0 if seq[i] == first else total.get((seq[i], link_a[i]), (None,))[0]
             if before is not None:
-                cost = before[0] + r.cost
-                if (r.next_seq, r.link_b) not in total or cost < total[r.next_seq, r.link_b][0]:
-                    total[r.next_seq, r.link_b] = (cost, i)
-        last = df["next_seq"].max()
+                cost, key = before + step[i], (after[i], link_b[i])
+                if key not in total or cost < total[key][0]:
+                    total[key] = (cost, i)
         ends = sorted((c, str(k[1]), k) for k, (c, _) in total.items() if k[0] == last)
-        if not ends:
-            return df.iloc[:0][names]
-        chain, key = [], ends[0][2]
+        chain, key = [], ends[0][2] if ends else None
         while key in total:
             i = total[key][1]
             chain.append(i)
-            key = (df["seq"][i], df["link_a"][i])
-        return df.iloc[chain[::-1]][names]
+            key = (seq[i], link_a[i])
+        return df[names].iloc[chain[::-1]]
 
     names = ["trip_id", "seq", "next_seq", "link_a", "link_b", "offset_a", "offset_b", "route"]
     return steps.groupBy("trip_id").applyInPandas(best, ", ".join(f"{n} {kinds[n]}" for n in names))
