@@ -230,6 +230,16 @@ def test_licences(spark):
     assert got == {0: (3, "apache2-notice", "Apache-2.0"), 1: (2, "mit-notice,ccbync4-notice", "CC-BY-NC-4.0,MIT"), 2: (1, "", ""), 3: (0, "", ""), 4: (0, "", ""), 5: (2, "apache2-copy,apache2-compliance", "")}
 
 
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.sentence_ids, r.licences) for r in licences.scan_licences(df).orderBy("doc_id").collect()]
+
+
+def test_licences_looks_at_every_sentence(spark):
+    texts = ["GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n", "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n", "The above copyright  notice and this permission\tnotice shall be included in all copies or substantial portions of the Software."]
+    assert scanned(spark, texts) == [("gpl-title,gpl3-version", "GPL-3.0"), ("gpl-title,gpl2-version", "GPL-2.0"), ("mit-condition", "")]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -63,7 +63,7 @@ RULES = {
 }
 #: Where a licence of the left is found, that of the right, part of it, isn't told.
 PART_OF = {"BSD-3-Clause": "BSD-2-Clause"}
-#: Every known sentence holds one of these.
+#: The SQL looks only at raw sentences that hold one of these; 'version 3, 29' and 'version 2, june' as they are written don't.
 WORDS = "licen|permission|redistribut|merchantab|copyright notice|version 3 29|version 2 june|free software|public domain|noninfring|endorse"
 END = r"([.!?;:]['\")]*)[ \t\r]+"
 
@@ -95,9 +95,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     One pass of column functions, without shuffle, join or Python. Null text: no sentences (0) and empty strings.
     Null ids and repeated rows are scanned like others. Empty table: no rows.
     """
-    candidates = lambda found: F.filter(found, lambda s: F.lower(s).rlike(WORDS))
     a = docs.select("doc_id", sentences(F.col("text")).alias("all"))
-    a = a.select("doc_id", F.size(F.filter("all", lambda s: F.trim(s, F.lit(" \t\r")) != "")).cast("long").alias("n_sentences"), sentence_ids(candidates(F.col("all"))).alias("ids"))
+    a = a.select("doc_id", F.size(F.filter("all", lambda s: F.trim(s, F.lit(" \t\r")) != "")).cast("long").alias("n_sentences"), sentence_ids(F.col("all")).alias("ids"))
     told = {name: _any([follows(F.col("ids"), rule) for rule in rules]) for name, rules in RULES.items()}
     for whole, part in PART_OF.items():
         told[part] = told[part] & ~told[whole]
