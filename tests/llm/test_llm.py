@@ -1,5 +1,6 @@
 """Operators against brute force, on hard little tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -240,6 +241,36 @@ def test_licences_looks_at_every_sentence(spark):
     assert scanned(spark, texts) == [("gpl-title,gpl3-version", "GPL-3.0"), ("gpl-title,gpl2-version", "GPL-2.0"), ("mit-condition", "")]
 
 
+#: Texts of licences and notices as published, by the name that RULES gives them; lines are joined.
+PUBLISHED = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "MIT": 'MIT License\n\nCopyright (c) 2020 A. Nyone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.',
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n(1) Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n(2) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+}
+PUBLISHED["BSD-3-Clause"] = PUBLISHED["BSD-2-Clause"].replace("(1)", "1.").replace("(2)", "2.") + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def wrapped(text, width, before=""):
+    return "\n".join(before + x for line in text.split("\n") for x in textwrap.wrap(line, width, break_long_words=False) or [""])
+
+
+def test_licences_over_line_ends(spark):
+    names = sorted(PUBLISHED)
+    for width, before in ((10_000, ""), (78, ""), (60, " * "), (66, "# "), (1, "")):
+        got = scanned(spark, [wrapped(PUBLISHED[n], width, before) for n in names])
+        assert [x for _, x in got] == names, (width, before)
+    ids = scanned(spark, [wrapped(PUBLISHED["MIT"], 78)])[0][0]
+    assert ids == "mit-title,mit-grant,mit-condition,mit-warranty"
+    # a known sentence needs an end on either side, and a line that is one within another still counts
+    assert scanned(spark, ["see the MIT License\nor", "Under the\nMIT\nLicense of old", "under the\nGNU General\nPublic License\n.", "| MIT License | 3", "Released | under the MIT License"]) == [("", ""), ("", ""), ("gpl-title", ""), ("", ""), ("mit-notice", "MIT")]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
