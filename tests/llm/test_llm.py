@@ -271,6 +271,19 @@ def test_licences_over_line_ends(spark):
     assert scanned(spark, ["see the MIT License\nor", "Under the\nMIT\nLicense of old", "under the\nGNU General\nPublic License\n.", "| MIT License | 3", "Released | under the MIT License"]) == [("", ""), ("", ""), ("gpl-title", ""), ("", ""), ("mit-notice", "MIT")]
 
 
+def test_licences_over_sentence_ends(spark):
+    """Each known sentence as published, where that has ; : or a full stop within, on one line and wrapped."""
+    grant = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    warranty = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    want = {grant.format(";", ";", 2): ("gpl2-grant", "GPL-2.0"), grant.format(":", ",", 3): ("gpl3-grant", "GPL-3.0"), warranty: ("gpl-warranty,gpl-see", "")}
+    want["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."] = ("mpl2-notice", "MPL-2.0")
+    for width in (10_000, 75):
+        assert scanned(spark, [wrapped(x, width) for x in want]) == list(want.values())
+    # every entry of the table, in the wording it has there
+    known = list(licences.SENTENCES)
+    assert [x.split(",")[0] for x, _ in scanned(spark, [k.capitalize() + "." for k in known])] == list(licences.SENTENCES.values())
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -68,8 +68,8 @@ WORDS = "licen|permission|redistribut|merchantab|copyright notice|version 3 29|v
 END = r"([.!?;:]['\")]*)[ \t\r]+"
 #: (1), a) and the like where a line begins, comment signs before it allowed: a known sentence may start after it.
 MARKER = r"(\n[^\p{L}\p{N}\n(]*\(?[0-9A-Za-z]{1,3}\))[ \t]+"
-#: What may stand between two words of a known sentence.
-GAP = r"[ \n]"
+#: What may stand between two words of a known sentence: line ends and sentence ends too ('v. 2.0', 'free software; you').
+GAP = r"[ \n|]"
 
 
 def sentences(text: Column) -> Column:
@@ -92,7 +92,7 @@ def known() -> str:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences in the order of their starts, wherever their lines are wrapped."""
+    """Identifiers of the known sentences in the order of their starts, wherever their lines are wrapped and whatever ends of sentences they hold."""
     names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     found = F.regexp_extract_all(marked(text), F.lit(known()), F.lit(1))
     return F.transform(found, lambda s: F.element_at(names, F.translate(s, "\n|", "  ")))
@@ -108,7 +108,7 @@ def follows(ids: Column, rule: list[str]) -> Column:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences): known sentences of each whole text in their order, and the licences whose rules they satisfy, by name; both joined by commas.
 
-    Lines are joined for known sentences, but each counts for n_sentences. One pass of column functions, without shuffle, join or Python. Null text: no sentences (0) and empty strings.
+    Lines and sentences are joined for known sentences, but each counts for n_sentences. One pass of column functions, without shuffle, join or Python. Null text: no sentences (0) and empty strings.
     Null ids and repeated rows are scanned like others. Empty table: no rows.
     """
     n = F.size(F.filter(sentences(F.col("text")), lambda s: F.trim(s, F.lit(" \t\r")) != "")).cast("long")
@@ -128,7 +128,7 @@ def _any(columns: list[Column]) -> Column:
 
 
 def oracle(table: str = "documents") -> str:
-    """DuckDB's SQL for known sentences that don't run over a line end; scan_licences() finds these and those that do."""
+    """DuckDB's SQL for known sentences that don't run over the end of a line or sentence; scan_licences() finds these and those that do."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
     test = {}
     for name, rules in RULES.items():
