@@ -121,6 +121,20 @@ def test_road_costs_two_ways(spark):
     assert got[0] == got[1] and got[0]
 
 
+def test_road_distances_are_unbounded(spark):
+    edges = {(r.a, r.b): r.cost for r in roads.graph(roads.two_way(tables.grid_roads(spark))).collect()}
+    nodes = {n for e in edges for n in e}
+    want = {(n, n): 0.0 for n in nodes if any(a == n for a, _ in edges)}
+    for _ in nodes:  # Bellman and Ford
+        for (a, b), c in edges.items():
+            for n in nodes:
+                if (n, a) in want:
+                    want[n, b] = min(want.get((n, b), np.inf), want[n, a] + c)
+    got = Q.QUERIES["road_distances"](spark, DATA).collect()
+    assert {(r.origin, r.target): r.cost for r in got} == want and len(got) == len(want)
+    assert max(want.values()) > 40_000
+
+
 def test_sweep_removes_saved_tables(spark):
     one = tables.saved(spark.range(5), "five")
     assert one.count() == 5

@@ -411,7 +411,7 @@ def road_graph(spark, d):
 select origin, target, min(cost) as cost from walk group by origin, target""")
 def road_distances(spark, d):
     e = roads.graph(roads.two_way(tables.grid_roads(spark)))
-    return roads.road_costs(e, e.select(F.col("a").alias("origin")), 40_000).select("origin", "target", "cost")
+    return roads.road_costs(e, e.select(F.col("a").alias("origin"))).select("origin", "target", "cost")
 
 
 def _match(spark, d):
