@@ -168,6 +168,28 @@ def test_mcd_against_numpy(spark):
     assert outliers.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3) and np.all(np.linalg.eigvalsh(cov) > 0)
 
 
+def test_mcd_with_a_large_bloc(spark):
+    """A quarter to nearly half of a cell shifted in symbols; and as many copies of one ordinary row, which must not make outliers of the others."""
+    cells = {}
+    for share in (0.28, 1 / 3, 0.4, 0.45):
+        rng = np.random.default_rng(7)
+        x = rng.normal(0, 1, (1000, 5)) * [1, 0.15, 0.05, 0.05, 0.05]
+        bloc = int(share * 1000)
+        copies = x.copy()
+        copies[:bloc] = copies[bloc]
+        x[:bloc, 2] += 0.5
+        cells |= {f"bloc {share}": (x, bloc), f"copies {share}": (copies, bloc)}
+    df = spark.createDataFrame([(c, *map(float, v)) for c, (x, _) in cells.items() for v in x], ["cell", *outliers.VECTOR])
+    cutoff, fits = outliers.chi2_quantile(1 - 1e-9, 5), outliers.mcd(df).collect()
+    assert len(fits) == len(cells)
+    for fit in fits:
+        x, bloc = cells[fit.cell]
+        kept = np.einsum("ij,jk,ik->i", x - fit.mean, np.array(fit.inverse).reshape(5, 5), x - fit.mean) <= cutoff
+        print(fit.cell, kept[:bloc].mean(), kept[bloc:].mean())
+        assert kept[bloc:].mean() > 0.99, fit.cell
+        assert fit.cell.startswith("copies") or kept[:bloc].mean() < 0.25, fit.cell
+
+
 def test_toxicity_finds_unseen_spellings(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("aeiourstnl"), 6))

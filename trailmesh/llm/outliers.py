@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -98,33 +98,49 @@ def distance() -> Column:
     return reduce(lambda a, b: a + b, [diff[i] * diff[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)])
 
 
-def mcd(points: DataFrame, keep: float = 0.75, steps: int = 12, bins: int = 64) -> DataFrame:
+def consistency(share: float, k: int) -> float:
+    """Factor for the covariance of the share of normal data that is nearest to the mean."""
+    return share / chi2_cdf(chi2_quantile(share, k), k + 2) if share < 1 else 1.0
+
+
+def mcd(points: DataFrame, keep: float = 0.5, steps: int = 12, bins: int = 64, reweight: float = 0.999) -> DataFrame:
     """(cell, mean, inverse): minimum-covariance-determinant estimates of points (cell, *VECTOR) for each cell.
 
-    Deterministic concentration steps from medians and quartiles: each takes the share keep of a cell's points that
-    are nearest under the current estimate, and estimates anew from them, which never raises the determinant. All
+    Deterministic concentration steps from each statistic's shortest half: each takes the share keep of a cell's points
+    that are nearest under the current estimate ((n + p + 1) / 2 points at least: with these, nearly half of a cell may be
+    outliers), and estimates anew from them, which never raises the determinant. At the end all points within the
+    chi-squared quantile reweight give the estimate, as half of the points alone say little of the spread. All
     points of all cells take part in each step. The cut is found on a histogram of log distances, bins to a factor of
     two, of which a cell has some hundred rows; sums are combined before the shuffle. So a cell may be of any size.
     Steps end when no cell's determinant changes by a millionth, or after steps. Covariances are made consistent for normal data and get the squares of FLOOR added.
     """
     p = len(VECTOR)
-    consistent = keep / chi2_cdf(chi2_quantile(keep, p), p + 2)
     kind = dict(points.dtypes)["cell"]
     # percentile() keeps a count for each distinct value; rounded values have a bounded number of them
-    quartiles = points.groupBy("cell").agg(*[F.percentile(F.round(v, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(v) for v in VECTOR])
-    spread = [F.greatest((F.col(v)[2] - F.col(v)[0]) / 1.349, F.lit(f)) for v, f in zip(VECTOR, FLOOR)]
+    fiftieths = [i / 50 for i in range(51)]
+    levels = points.groupBy("cell").agg(*[F.percentile(F.round(v, 2), F.array(*map(F.lit, fiftieths))).alias(v) for v in VECTOR])
+    half = lambda v: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.struct((F.get(v, i + 25) - F.get(v, i)).alias("width"), i.alias("at"))))
+    levels = levels.select("cell", *VECTOR, *[half(F.col(v)).alias(f"{v}_half") for v in VECTOR])
+    middle = [(F.get(v, F.col(f"{v}_half.at") + 12) + F.get(v, F.col(f"{v}_half.at") + 13)) / 2 for v in VECTOR]
+    spread = [F.greatest(F.col(f"{v}_half.width") / 1.349, F.lit(f)) for v, f in zip(VECTOR, FLOOR)]
     inverse = F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
-    fit = saved(quartiles.select("cell", F.array(*[F.col(v)[1] for v in VECTOR]).alias("mean"), inverse.alias("inverse"), F.lit(0.0).alias("log_det")), "mcd")
+    fit = saved(levels.select("cell", F.array(*middle).alias("mean"), inverse.alias("inverse"), F.lit(0.0).alias("log_det")), "mcd")
 
     def solve(frames: Iterator) -> Iterator:
+        factor = cache(lambda share: consistency(share, p))
         for f in frames:
             if len(f):
                 n = f["n"].to_numpy()[:, None]
                 s1, s2 = np.stack(f["s1"]) / n, np.stack(f["s2"]) / n
                 cov = s2.reshape(-1, p, p) - s1[:, :, None] * s1[:, None, :]
-                cov = cov * consistent + np.diag(np.square(FLOOR))
+                cov = cov * np.array([factor(x) for x in f["share"]])[:, None, None] + np.diag(np.square(FLOOR))
                 yield f[["cell"]].assign(mean=list(s1), inverse=list(np.linalg.inv(cov).reshape(-1, p * p)), log_det=np.linalg.slogdet(cov)[1])
 
+    def estimate(near: DataFrame) -> DataFrame:
+        """From points (cell, share, *VECTOR), which are the nearest share of their cells."""
+        sums = near.groupBy("cell").agg(F.first("share").alias("share"), F.count("*").alias("n"), F.array(*[F.sum(v) for v in VECTOR]).alias("s1"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in VECTOR for b in VECTOR]).alias("s2"))
+        return saved(sums.mapInPandas(solve, f"cell {kind}, mean array<double>, inverse array<double>, log_det double"), "mcd")
+
     before = None
     for _ in range(steps):
         level = F.floor(F.log2(F.col("d2") + 1e-9) * bins).cast("int")
@@ -132,18 +148,18 @@ def mcd(points: DataFrame, keep: float = 0.75, steps: int = 12, bins: int = 64)
         hist = at.groupBy("cell", "level").agg(F.count("*").alias("n"))
         w = Window.partitionBy("cell")
         below = hist.withColumn("below", F.sum("n").over(w.orderBy("level")) - F.col("n")).withColumn("all", F.sum("n").over(w))
-        cut = below.filter(F.col("below") < F.ceil(F.col("all") * keep)).groupBy("cell").agg(F.max("level").alias("cut"))
-        near = at.join(saved(cut, "mcd-cut"), "cell").filter("level <= cut")
-        sums = near.groupBy("cell").agg(F.count("*").alias("n"), F.array(*[F.sum(v) for v in VECTOR]).alias("s1"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in VECTOR for b in VECTOR]).alias("s2"))
-        fit = saved(sums.mapInPandas(solve, f"cell {kind}, mean array<double>, inverse array<double>, log_det double"), "mcd")
+        wanted = F.least(F.greatest(F.ceil(F.col("all") * keep), F.floor((F.col("all") + p + 1) / 2)), F.col("all"))
+        cut = below.filter(F.col("below") < wanted).groupBy("cell").agg(F.max("level").alias("cut"), F.first(wanted / F.col("all")).alias("share"))
+        fit = estimate(at.join(saved(cut, "mcd-cut"), "cell").filter("level <= cut"))
         now = fit.agg(F.sum("log_det"), F.count("*")).first()
         if before is not None and (not now[1] or abs(now[0] - before) <= 1e-6 * now[1]):
             break
         before = now[0]
+    fit = estimate(points.join(fit, "cell").filter(distance() <= chi2_quantile(reweight, p)).withColumn("share", F.lit(reweight)))
     return fit.select("cell", "mean", "inverse")
 
 
-def quality_rules(docs: DataFrame, keep: float = 0.75, min_cell: int = 100, cutoff: float = 1 - 1e-9) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: float = 0.5, min_cell: int = 100, cutoff: float = 1 - 1e-9) -> DataFrame:
     """(doc_id, STATS, base_failed, distance, kept).
 
     Base rules: under 50 words, or over half of the words repeated, fail. The others' transformed statistics are held
