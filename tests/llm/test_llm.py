@@ -190,6 +190,20 @@ def test_mcd_with_a_large_bloc(spark):
         assert fit.cell.startswith("copies") or kept[:bloc].mean() < 0.25, fit.cell
 
 
+def test_quality_rules_of_rare_sources(spark):
+    """Few rows of a source are held against their language's, of a rare language against all."""
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join("abcdefghij"[: int(k)] + str(rng.integers(1000)) for k in rng.integers(2, 8, 150))
+    junk = lambda: " ".join("#$%&|<>*"[: int(k)] + str(rng.integers(1000)) for k in rng.integers(4, 8, 150))
+    rows = [(i, prose(), "en", f"s{i % 2}") for i in range(240)] + [(1000 + i, junk(), "en", "rare") for i in range(60)]
+    rows += [(2000 + i, junk(), "xx", None) for i in range(9)] + [(3000 + i, prose(), "xx", "t") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = outliers.quality_rules(df).collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kept} == {d for d, *_ in rows if d < 1000 or d >= 3000}
+    assert all(r.distance is not None for r in got)
+
+
 def test_toxicity_finds_unseen_spellings(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("aeiourstnl"), 6))

@@ -164,8 +164,8 @@ def quality_rules(docs: DataFrame, keep: float = 0.5, min_cell: int = 100, cutof
 
     Base rules: under 50 words, or over half of the words repeated, fail. The others' transformed statistics are held
     against a minimum-covariance-determinant estimate of their language and source; beyond the chi-squared quantile
-    cutoff they are rejected. Cells of fewer than min_cell rows are estimated together with others of their
-    language, if these are too few, of all languages; with still fewer rows there is no estimate and rows are kept.
+    cutoff they are rejected. Cells of fewer than min_cell rows are held against an estimate from all rows of their
+    language, if these are too few, of the table; only if that has fewer than min_cell rows past the base rules is there no estimate and rows are kept.
 
     Null text: no words, so base_failed. Null lang or source: values of their own. Repeated rows count as often as they occur. Empty table: no rows.
     """
@@ -173,14 +173,20 @@ def quality_rules(docs: DataFrame, keep: float = 0.5, min_cell: int = 100, cutof
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = s.filter(~failed).groupBy("lang", "source").agg(F.count("*").alias("n"))
     tag = lambda *c: F.to_json(F.array(*[F.coalesce(x, F.lit("\0null")) for x in c]))
-    sparse = good.filter(F.col("n") < min_cell).groupBy("lang").agg(F.sum("n").alias("n"))
-    cells = good.alias("g").join(sparse.alias("p"), F.col("g.lang").eqNullSafe(F.col("p.lang")), "left")
-    cell = F.when(F.col("g.n") >= min_cell, tag(F.col("g.lang"), F.col("g.source"))).when(F.col("p.n") >= min_cell, tag(F.col("g.lang"))).otherwise("[]")
-    cells = saved(cells.select(F.col("g.lang").alias("l"), F.col("g.source").alias("s"), cell.alias("cell")), "cells")
+    langs = good.groupBy("lang").agg(F.sum("n").alias("n"), (F.min("n") < min_cell).alias("sparse"))
+    cells = good.alias("g").join(langs.alias("p"), F.col("g.lang").eqNullSafe(F.col("p.lang")))
+    own, of_lang = tag(F.col("g.lang"), F.col("g.source")), tag(F.col("g.lang"))
+    large, shared = F.col("g.n") >= min_cell, F.col("p.n") >= min_cell
+    cell = F.when(large, own).when(shared, of_lang).otherwise("[]")
+    serves = F.array_compact(F.array(F.when(large, own), F.when(shared & F.col("p.sparse"), of_lang)))
+    cells = saved(cells.select(F.col("g.lang").alias("l"), F.col("g.source").alias("s"), cell.alias("cell"), serves.alias("serves")), "cells")
+    if not cells.filter("cell = '[]'").isEmpty():  # rows serve every estimate that some source needs
+        cells = cells.withColumn("serves", F.array_append("serves", F.lit("[]")))
     both = s.join(cells, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    points = saved(both.select("doc_id", *STATS, failed.alias("base_failed"), F.when(~failed, F.col("cell")).alias("cell"), *vector()), "points")
-    fit = mcd(points.filter("cell is not null").select("cell", *VECTOR), keep)
-    enough = points.groupBy("cell").agg((F.count("*") >= min_cell).alias("enough"))
+    points = saved(both.select("doc_id", *STATS, failed.alias("base_failed"), F.when(~failed, F.col("cell")).alias("cell"), F.when(~failed, F.col("serves")).alias("serves"), *vector()), "points")
+    served = points.select(F.explode("serves").alias("cell"), *VECTOR)
+    fit = mcd(served, keep)
+    enough = served.groupBy("cell").agg((F.count("*") >= min_cell).alias("enough"))
     fit = saved(fit.join(enough, "cell").filter("enough").drop("enough"), "mcd")
     held = points.join(fit, "cell", "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cutoff, len(VECTOR)), F.lit(True))
