@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,24 +53,23 @@ def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """s: for each bucket, what the softmax's weights make of its embedding (toxic less clean); bias likewise.
+    """s: for each bucket, what the softmax's weights make of its embedding (toxic less clean); bias likewise; focus: see train().
 
     A word's vector is the average of its n-grams' embeddings, so unseen spellings share those of the words that they
-    resemble. The softmax is linear, so a word's logit is the average of s over its n-grams, and the embeddings needn't
-    be kept for scoring. A text's logit is the largest of its words'; an empty text's is bias.
+    resemble, and a text's vector the weighted average of its distinct words' vectors. Averages and the softmax are
+    linear, so a word's part in the logit is the average of s over its n-grams, a text's logit the weighted average of
+    its words' parts, and the embeddings needn't be kept for scoring. An empty text's is bias.
     """
 
-    def __init__(self, s: np.ndarray, bias: float, most: int = 300_000) -> None:
-        self.s, self.bias, self.most, self.known = s, bias, most, {}
+    def __init__(self, s: np.ndarray, bias: float, focus: float, most: int = 300_000) -> None:
+        self.s, self.bias, self.focus, self.most, self.known = s, bias, focus, most, {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
         for lo in range(0, len(words), 20_000):
             part = words[lo : lo + 20_000]
             bucket, word = grams(part, len(self.s))
-            logit = np.bincount(word, self.s[bucket], len(part)) / np.bincount(word, minlength=len(part)) + self.bias
-            self.known.update(zip(part, logit.tolist()))
+            own = np.bincount(word, self.s[bucket], len(part)) / np.bincount(word, minlength=len(part))
+            self.known.update(zip(part, own.tolist()))
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         bags = [set(WORDS((t or "").lower())) for t in texts]
@@ -77,24 +77,50 @@ class Model:
         if len(self.known) + len(fresh) > self.most:
             self.known.clear()
             fresh = set().union(*bags)
-        self.learn(list(fresh))
+        self.learn(sorted(fresh))
         get = self.known.__getitem__
-        return np.array([max(map(get, b)) if b else self.bias for b in bags], dtype=float)
-
-
-def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 120, rate: float = 0.05, decay: float = 0.1, min_docs: int = 3, seed: int = 6) -> Model:
-    """Learns embeddings and softmax together, from labelled whole texts, by Adam on all of them at once.
-
-    A text's logit is the log of the mean of exp over its distinct words' logits weighted to their largest, so the
-    gradient goes to the words that make it; clean texts push down all words that stand out in them.
-    Buckets met fewer than min_docs times, by distinct words of each text, keep an embedding of zero: by them a text would be learnt by heart.
-    Without both labels the model is constant, at the labels' share.
-    """
-    y = np.array(labels, dtype=float)
-    if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
-        return Model(np.zeros(2, np.float32), float(np.log(share / (1 - share))))
-    # texts become word numbers one by one, so the driver never holds all their words as strings
+        out = np.full(len(bags), self.bias)
+        for i, b in enumerate(bags):
+            if b:
+                own = np.sort(np.fromiter(map(get, b), float, len(b)))  # sorted, so that sums don't depend on the set's order
+                weight = np.exp(self.focus * (own - own[-1]))
+                out[i] += weight @ own / weight.sum()
+        return out
+
+
+def loss(e: np.ndarray, u: np.ndarray, b: np.ndarray, bags: Bags, y: np.ndarray, weight: np.ndarray, focus: float, decay: float) -> tuple[float, list[np.ndarray]]:
+    """Weighted cross-entropy of labels y, with decay times half the mean square of e's rows, and its gradients by e, u and b."""
+    n = len(y)
+    own = np.bincount(bags.word, (e @ u)[bags.gram], len(bags.share)) * bags.share
+    s = own[bags.item]
+    top = np.zeros(n)
+    top[bags.full] = np.maximum.reduceat(s, bags.start[bags.full])
+    pull = np.exp(focus * (s - top[bags.doc]))
+    pull /= np.bincount(bags.doc, pull, n)[bags.doc]
+    mean = np.bincount(bags.doc, pull * s, n)
+    z = mean + b[0]
+    value = float(weight @ (np.logaddexp(0, z) - y * z)) + decay * float((e * e).sum()) / (2 * len(e))
+    g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
+    g_own = np.bincount(bags.item, g[bags.doc] * pull * (1 + focus * (s - mean[bags.doc])), len(bags.share))
+    g_gram = np.bincount(bags.gram, (g_own * bags.share)[bags.word], len(e))
+    return value, [g_gram[:, None] * u + decay * e / len(e), e.T @ g_gram, np.array([g.sum()])]
+
+
+@dataclass
+class Bags:
+    """Texts as sets of words, words as bags of n-grams. (gram, word): an n-gram of a word; share: one over a word's number of n-grams; (item, doc): a word of a text; start: each text's first item, full: texts with any."""
+
+    gram: np.ndarray
+    word: np.ndarray
+    share: np.ndarray
+    item: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    full: np.ndarray
+
+
+def bagged(texts: list[str | None], buckets: int, min_docs: int) -> tuple[Bags, np.ndarray]:
+    """Bags of texts, and the buckets that their n-grams' numbers stand for. Texts become word numbers one by one, so the driver never holds all their words as strings."""
     met: dict[str, int] = {}
     own = [np.fromiter({met.setdefault(w, len(met)) for w in WORDS((t or "").lower())}, np.int32) for t in texts]
     size = np.array([len(b) for b in own])
@@ -104,48 +130,50 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
     del met
     item = np.concatenate([np.sort(place[b]) for b in own])
     del own
-    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
     start = np.concatenate([[0], np.cumsum(size)])
-    full = np.flatnonzero(np.diff(start))
     bucket, word = grams(vocabulary, buckets)
     share = 1 / np.bincount(word, minlength=len(vocabulary))
     spread = np.bincount(bucket, np.bincount(item, minlength=len(vocabulary))[word], buckets)
     bucket, word = bucket[spread[bucket] >= min_docs], word[spread[bucket] >= min_docs]
     order = np.argsort(bucket, kind="stable")
     used, at = np.unique(bucket[order], return_index=True)
-    local = np.empty(len(bucket), np.int32)
-    local[order] = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(np.append(at, len(bucket))))
+    gram = np.empty(len(bucket), np.int32)
+    gram[order] = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(np.append(at, len(bucket))))
+    return Bags(gram, word, share, item, np.repeat(np.arange(len(size), dtype=np.int32), size), start, np.flatnonzero(np.diff(start))), used
+
+
+def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 120, rate: float = 0.05, decay: float = 0.3, min_docs: int = 3, focus: float = 0.5, seed: int = 6) -> Model:
+    """Learns embeddings and softmax together, from labelled whole texts, by Adam on all of them at once.
+
+    A text's vector averages its distinct words' vectors with weights exp(focus times a word's part in the logit), so
+    that a few toxic words of a long text aren't lost among its others; focus 0 is the plain average.
+    Buckets met fewer than min_docs times, by distinct words of each text, keep an embedding of zero: by them a text would be learnt by heart.
+    Both labels count equally. Without both the model is constant, at the labels' share.
+    """
+    y = np.array(labels, dtype=float)
+    if not len(y) or y.min() == y.max():
+        share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
+        return Model(np.zeros(2, np.float32), float(np.log(share / (1 - share))), focus)
+    bags, used = bagged(texts, buckets, min_docs)
     rng = np.random.default_rng(seed)
-    e, u, b = rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.5, dim), np.array([-3.0])
+    params = e, u, b = rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.5, dim), np.array([-3.0])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, u, b)]
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in params]
     for step in range(1, epochs + 1):
-        s = e @ u
-        z = np.bincount(word, s[local], len(vocabulary)) * share + b[0]
-        zi = z[item]
-        top = np.full(len(size), b[0])
-        top[full] = np.maximum.reduceat(zi, start[full])
-        pull = np.exp(zi - top[doc])
-        total = np.bincount(doc, pull, len(size))
-        pull /= total[doc]
-        prob = 1 / (1 + np.exp(-top))
-        g = (prob - y) * weight
-        gz = np.bincount(item, g[doc] * pull, len(vocabulary))
-        gs = np.bincount(local, (gz * share)[word], len(used))
-        grads = [gs[:, None] * u + decay * e / len(used), e.T @ gs, np.array([g.sum()])]
-        for x, grad, m in zip((e, u, b), grads, moments):
+        _, grads = loss(e, u, b, bags, y, weight, focus, decay)
+        for x, grad, m in zip(params, grads, moments):
             m[0] += 0.1 * (grad - m[0])
             m[1] += 0.001 * (grad * grad - m[1])
             x -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-12)
     out = np.zeros(buckets, np.float32)
     out[used] = e @ u
-    return Model(out, float(b[0]))
+    return Model(out, float(b[0]), focus)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_chars: int) -> list:
     """Labelled rows (text, y) outside of held_out(): of classes 0 and 1 the per_class[0] and [1] first by hash of id, among texts of at most max_chars characters. The bound of what the driver gets."""
     spark = docs.sparkSession
-    own = labels.select(F.col("doc_id").alias("_label_id"), F.col(label).cast("int").alias("y")).filter("y is not null").dropDuplicates(["_label_id"])
+    own = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     short = F.coalesce(F.length("text"), F.lit(0)) <= max_chars
     # ids alone are joined with labels and chosen; only the chosen rows' texts move, so their number bounds what is sent
     ids = docs.filter(~held_out(F.col("doc_id")) & short).select("doc_id").join(own, F.col("doc_id") == F.col("_label_id")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "y").distinct()
@@ -162,15 +190,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_cla
     """(doc_id, held_out, score, predicted) of each row's whole text.
 
     Trained on the driver on training_rows(), at most per_class rows of labels 0 and 1; nothing but texts enters a score.
-    Scoring: no shuffle; the model is 0.5 MB, whatever the input. Null or empty text: the score of the model's bias.
-    Null id: held out. Repeated rows: equal scores; a label that is given twice counts once. No labels or only one:
+    Scoring: no shuffle; the model is 0.5 MB, whatever the input. Null or empty text, or one without words: the score of the model's bias.
+    Null id: held out. Repeated rows: equal scores; a label that is given twice counts once, of contradictory ones the larger. No labels or only one:
     a constant score. Empty table: no rows.
     """
     spark = docs.sparkSession
     arrow_bounds(spark)
     rows = training_rows(docs, labels, "toxic", per_class, max_chars)
     model = train([r.text for r in rows], [r.y for r in rows])
-    shared = spark.sparkContext.broadcast((model.s, model.bias))
+    shared = spark.sparkContext.broadcast((model.s, model.bias, model.focus))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -190,7 +218,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_c
     arrow_bounds(spark)
     rows = training_rows(docs, labels, "toxic", per_class, max_chars)
     model = train([r.text for r in rows], [r.y for r in rows])
-    shared = spark.sparkContext.broadcast((model.s, model.bias))
+    shared = spark.sparkContext.broadcast((model.s, model.bias, model.focus))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
