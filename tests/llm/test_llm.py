@@ -1,5 +1,8 @@
 """Operators against brute force, on hard little tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import itertools
+import os
+import re
 import textwrap
 import zlib
 
@@ -150,7 +153,7 @@ def test_links_of_planted_fingerprints(spark):
 def test_quality_rules(docs, empty):
     text = "a b c a b c\n\nx\nx\n# |"
     assert outliers.text_stats(text) == (10, 10, 2, 1, 6) and outliers.text_stats(None) == (0, 0, 0, 0, 0)
-    rows = outliers.quality_rules(docs, min_cell=10).collect()
+    rows = outliers.quality_rules(docs).collect()
     assert len(rows) == docs.count() and all(not r.kept for r in rows if r.base_failed)
     assert outliers.quality_rules(empty).count() == 0
 
@@ -168,6 +171,48 @@ def test_mcd_against_numpy(spark):
     assert outliers.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3) and np.all(np.linalg.eigvalsh(cov) > 0)
 
 
+def test_mcd_against_all_subsets(spark):
+    """Small cells with as many far outliers as the subset can leave out: the subset of the smallest determinant, found among all, then the reweighting of mcd()."""
+    rng, p = np.random.default_rng(8), 5
+    cells = {}
+    for n, bad in ((12, 3), (13, 4), (14, 4), (15, 5)):
+        x = rng.normal(0, 1, (n, p)) * [1, 0.5, 0.3, 0.3, 0.3]
+        x[:bad] += rng.choice([-8, 8], (bad, p))
+        cells[f"{n}-{bad}"] = x
+    df = spark.createDataFrame([(c, *map(float, v)) for c, x in cells.items() for v in x], ["cell", *outliers.VECTOR])
+    got = {r.cell: r for r in outliers.mcd(df).collect()}
+    for c, x in cells.items():
+        size = max(-(-len(x) // 2), (len(x) + p + 1) // 2)
+        cov = lambda rows, share: np.cov(rows.T, bias=True) * outliers.consistency(share, p) + np.diag(np.square(outliers.FLOOR))
+        best = min(itertools.combinations(range(len(x)), size), key=lambda k: np.linalg.slogdet(cov(x[list(k)], size / len(x)))[1])
+        rows = x[list(best)]
+        d2 = np.einsum("ij,jk,ik->i", x - rows.mean(0), np.linalg.inv(cov(rows, size / len(x))), x - rows.mean(0))
+        near = x[d2 <= outliers.chi2_quantile(0.999, p)]
+        assert got[c].n == len(near) and np.allclose(got[c].mean, near.mean(0)) and np.allclose(np.array(got[c].cov).reshape(p, p), cov(near, 0.999)), c
+
+
+def test_mcd_of_one_row_and_none(spark):
+    one = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 4.0, 5.0)], ["cell", *outliers.VECTOR])
+    fit = outliers.mcd(one).first()
+    assert fit.mean == [1, 2, 3, 4, 5] and np.allclose(np.array(fit.cov).reshape(5, 5), np.diag(np.square(outliers.FLOOR)))
+    assert outliers.mcd(one.limit(0)).count() == 0
+
+
+def test_every_row_past_the_base_rules_has_a_distance(docs):
+    for r in outliers.quality_rules(docs).collect():
+        assert r.base_failed or r.distance is not None
+
+
+def test_text_stats_against_a_loop(docs):
+    for r in outliers.quality_rules(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words, text = re.findall(r"[^\x20\x09-\x0D]+", r.text or ""), r.text or ""
+        seen = {i + k for i in range(len(words) - 2) if sum(words[j : j + 3] == words[i : i + 3] for j in range(len(words) - 2)) > 1 for k in range(3)} if len(words) < 3000 else None
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)))
+        assert seen is None or r.n_repeat_words == len(seen)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+
+
 def test_mcd_with_a_large_bloc(spark):
     """A quarter to nearly half of a cell shifted in symbols; and as many copies of one ordinary row, which must not make outliers of the others."""
     cells = {}
@@ -223,6 +268,45 @@ def test_toxicity_finds_unseen_spellings(spark):
     assert got[1000].predicted == 1 and got[1001].predicted == 0 and got[1002].predicted == 0 and got[None].held_out
 
 
+def test_toxicity_gradients_and_scores_against_loops():
+    texts, y = ["bad words here", "good words", "other bad thing entirely", None, "fine fine day", "12 34"], np.array([1.0, 0, 1, 0, 0, 1])
+    bags, used = toxicity.bagged(texts, 1 << 10, 1)
+    rng = np.random.default_rng(1)
+    params = [rng.normal(0, 0.5, (len(used), 3)), rng.normal(0, 1, 3), np.array([0.3])]
+    weight = np.arange(1, 7) / 21
+    for focus in (0.0, 0.5, 2.0):
+        value, grads = toxicity.loss(*params, bags, y, weight, focus, 0.1)
+        for x, g in zip(params, grads):
+            for i in list(np.ndindex(x.shape))[:40]:
+                old, ends = x[i], []
+                for step in (1e-5, -1e-5):
+                    x[i] = old + step
+                    ends.append(toxicity.loss(*params, bags, y, weight, focus, 0.1)[0])
+                x[i] = old
+                assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[i], abs=1e-7)
+        s = np.zeros(1 << 10, np.float32)
+        s[used] = params[0] @ params[1]
+        z = []
+        for t in texts:
+            parts = []
+            for w in set(toxicity.WORDS((t or "").lower())):
+                bucket, _ = toxicity.grams([w], 1 << 10)
+                parts.append(float(np.mean(s[bucket])))
+            pull = [np.exp(focus * x) for x in parts]
+            z.append(0.3 + (sum(p * x for p, x in zip(pull, parts)) / sum(pull) if parts else 0))
+        assert toxicity.Model(s, 0.3, focus).logits(texts) == pytest.approx(z, abs=1e-6)
+        by_hand = sum(w * (np.log1p(np.exp(v)) - t * v) for w, v, t in zip(weight, z, y)) + 0.1 * (params[0] ** 2).sum() / (2 * len(used))
+        assert value == pytest.approx(by_hand, abs=1e-5)
+
+
+def test_training_rows_leave_held_out_labels_alone(spark):
+    ids = list(range(60))
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    tags = spark.createDataFrame([(i, i % 2) for i in ids] + [(4, 1), (5, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r.y for r in toxicity.training_rows(df, tags, "toxic", (100, 100), 1000)}
+    assert got == {i: 1 if i == 4 else i % 2 for i in ids if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
 def test_classifiers_on_hard_tables(spark, docs, empty, labels):
     assert quality.classify(docs, labels).count() == docs.count() and quality.classify(empty, labels).count() == 0
     assert quality.classify(docs, labels.limit(0)).filter("accepted").count() == docs.count()
@@ -260,6 +344,34 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_rolls_at_its_defaults(spark):
+    """Incompressible pages in a few ranges: shards end where they have shard_bytes, not where ranges do."""
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15_000)), lambda k: F.sha2(F.concat("id", F.lit("-"), k).cast("string"), 256)), "").alias("html"))
+    folder = scratch(spark, "warc")
+    manifest = warc.write_warc(pages, folder)
+    shards = [r for r in manifest.orderBy("shard").collect()]
+    total = sum(r.bytes for r in shards)
+    assert len(shards) == -(-total // (32 << 20)) or len(shards) == total // (32 << 20) + 1
+    assert len(shards) >= 2 and all((32 << 20) - (4 << 20) <= r.bytes <= (32 << 20) + (4 << 20) for r in shards[:-1])
+    assert sum(r.records for r in shards) == 100 and warc.read_warc(manifest, folder, payloads=False).count() == 100
+    # gzip itself can read a shard, and ids run on from shard to shard
+    ids = []
+    for r in shards:
+        with open(f"{folder.removeprefix('file://')}/{r.shard}", "rb") as f:
+            ids += [x["page_id"] for x in warc.parse(f)]
+    assert ids == list(range(100))
+    assert not os.path.exists(f"{folder.removeprefix('file://')}/_temporary")
+
+
+def test_warc_null_ids_are_dealt_and_the_largest_id_is_written(spark):
+    rows = [(None, f"u{i}", f"page {i} " * 20) for i in range(50)] + [(2**63 - 1, "last", "z"), (-(2**63), "first", "a"), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert warc.dealt_pages(pages, 500).filter("page_id is null").select("task").distinct().count() > 5
+    folder = scratch(spark, "warc")
+    got = warc.read_warc(warc.write_warc(pages, folder, shard_bytes=2000, task_bytes=500, block_bytes=300), folder).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in got) == sorted((p is None, p or 0, len(h or "")) for p, _, h in rows)
+
+
 def test_licences(spark):
     texts = ["A line. Licensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License. Licensed under CC BY-NC 4.0.", "Redistribution", None, "", "You may obtain a copy of the License at\nyou may not use this file except in compliance with the License."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
