@@ -2,37 +2,72 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_bounds, saved
 
-#: What the vocabulary's pretokenizer splits by, without its look-ahead; the same splits wherever no two white-space characters meet.
-SINGLE_SPACES = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-
-
 class ByteBpe:
-    """ids() as tokenizers gives them for the byte-level vocabulary, special strings in a text taken as special."""
-
-    def __init__(self, ranks_file: str, pattern: str, special: dict[str, int]) -> None:
-        import base64
-        import re
+    """The ids that tokenizers gives for a byte-level vocabulary (a .json of it), special strings in a text taken as special.
 
-        import tiktoken
-
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.exact = tiktoken.Encoding("exact", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.fast = tiktoken.Encoding("fast", pat_str=SINGLE_SPACES, mergeable_ranks=ranks, special_tokens=special)
-        self.double = re.compile(r"\s\s").search
+    Merges never cross the vocabulary's splits of a text, so each split's ids are asked of the library once and kept.
+    Splits are found by regex; a text with a character that the library's own splitter takes for another kind (as
+    versions of Unicode differ) is encoded whole by the library.
+    """
 
-    def ids(self, text: str):
-        return (self.exact if self.double(text) else self.fast).encode_to_numpy(text, allowed_special="all")
+    def __init__(self, file: str, pattern: str, most: int = 200_000, longest: int = 64) -> None:
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.library = Tokenizer.from_file(file)
+        self.split, self.most, self.longest = regex.compile(pattern).findall, most, longest
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {k: i.to_bytes(4, "little") for k, i in special.items()}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda text: [text]
+        self.known: dict[str, bytes] = {}
+        self.same: dict[str, bool] = {}
+
+    def asked(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def splits_alike(self, char: str) -> bool:
+        text = f"a{char}b 1{char}2 .{char}. "
+        return self.split(text) == [text[lo:hi] for _, (lo, hi) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of text."""
+        if not text.isascii():
+            chars = set(text)
+            for c in chars:
+                if c not in self.same:
+                    self.same[c] = self.splits_alike(c)
+            if not all(map(self.same.__getitem__, chars)):
+                return self.asked([text])[0]
+        out = []
+        for part in self.cut(text):
+            if part in self.special:
+                out.append(self.special[part])
+                continue
+            words = self.split(part)
+            fresh = {w for w in words if w not in self.known}
+            long = {w for w in fresh if len(w) > self.longest}
+            if len(self.known) + len(fresh) > self.most:
+                self.known.clear()
+                fresh = set(words)
+            fresh = list(fresh)
+            self.known.update(zip(fresh, self.asked(fresh)))
+            out += map(self.known.__getitem__, words)
+            for w in long:
+                del self.known[w]
+        return b"".join(out)
 
 
 def cut(n: int, most: int) -> Iterator[tuple[int, int]]:
@@ -43,11 +78,11 @@ def cut(n: int, most: int) -> Iterator[tuple[int, int]]:
         yield start, most
 
 
-def token_pieces(docs: DataFrame, max_tokens: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, max_tokens: int = 1024, end_id: int = 2, keep_ids: bool = False, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth[, ids]): documents as pieces of at most max_tokens ids.
 
     Each document is its text's ids and end_id; only longer ones are cut. task and nth number the pieces of a length:
-    nth counts within the task that made them. ids: little-endian unsigned 32-bit.
+    nth counts within the task that made them. ids: little-endian unsigned 32-bit. tokenizer: a byte-level vocabulary's .json, at the same place on every machine; byte_bpe_50k.json if None.
     """
     arrow_bounds(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * keep_ids
@@ -56,12 +91,12 @@ def token_pieces(docs: DataFrame, max_tokens: int = 1024, end_id: int = 2, keep_
         import public_tokenizers
         from pyspark import TaskContext
 
-        bpe = ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+        bpe = ByteBpe(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
         task, seen, end = TaskContext.get().partitionId(), [0] * (max_tokens + 1), end_id.to_bytes(4, "little")
         for b in batches:
             index, rows = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                data = bpe.ids(text or "").astype("<u4").tobytes() + end
+                data = bpe.ids(text or "") + end
                 for k, (start, length) in enumerate(cut(len(data) // 4, max_tokens)):
                     own = data[4 * start : 4 * (start + length)]
                     index.append(i)
@@ -88,7 +123,7 @@ class Slot:
     offset: int
 
 
-def best_fit(counts: dict[int, int], max_tokens: int, max_docs: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm") -> tuple[list[Slot], int]:
+def best_fit(counts: dict[int, int], max_tokens: int, max_docs: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> tuple[list[Slot], int]:
     """Best-fit decreasing of counts[length] pieces: where each goes, and how many sequences.
 
     Every sequence has three residual capacities: tokens, documents and attention cost (the sum of squared lengths).
@@ -137,7 +172,7 @@ def best_fit(counts: dict[int, int], max_tokens: int, max_docs: int, max_attenti
     return slots, total
 
 
-def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm") -> DataFrame:
+def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> DataFrame:
     """pieces with sequence_id and offset, without task and nth.
 
     Pieces of a length are ranked: the driver's plan (bounded by max_tokens, whatever the number of pieces) says for
@@ -148,7 +183,7 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int | None = None,
     held = pieces.groupBy("task", "length").agg((F.max("nth") + 1).alias("n"))
     held = saved(held.withColumn("start_rank", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")), "pack-ranks")
     counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_tokens rows
-    slots, _ = best_fit(counts, max_tokens, max_docs or max_tokens, max_attention or max_tokens**2, weights, rule)
+    slots, _ = best_fit(counts, max_tokens, max_tokens if max_docs is None else max_docs, max_tokens**2 if max_attention is None else max_attention, weights, rule)
     plan = spark.createDataFrame([(s.length, s.lo, s.hi, s.base, s.per, s.offset) for s in slots], "length long, lo long, hi long, base long, per long, at long")
     ranked = pieces.join(held.select("task", "length", "start_rank"), ["task", "length"]).withColumn("rank", F.col("nth") + F.col("start_rank"))
     placed = ranked.join(plan, (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(plan["length"])
@@ -160,6 +195,9 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int | None = None,
 def pack_documents(docs: DataFrame, max_tokens: int = 1024, keep_ids: bool = False, **how) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): documents packed into sequences.
 
+    how: max_docs, max_attention, weights and rule of pack(). The default capacities of documents (max_tokens) and attention
+    (its square) are what max_tokens tokens can need at most, so tokens alone bind; the other two residuals still weigh in the choice of a sequence.
+
     Null text: empty, so one piece with end_id alone. Null ids and repeated rows are packed like others, each row for
     itself. Empty table: no rows. Other columns are not carried.
     """
