@@ -104,6 +104,9 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     Equal fingerprints are one node, whatever their number. Null or wordless text: fingerprint 0, linked like any
     other. Null ids: such rows belong to their component but never name it; component_id is null where all of its ids
     are. Repeated rows share a component. Empty table: no rows. root: the component's smallest fingerprint.
+
+    Balls of 2,081 variants are sent only by fingerprints that with_neighbours() leaves, which itself sends the
+    variants within half the radius on two of three blocks: it drops none that has another one within the radius.
     """
     prints = saved(fingerprints(docs, ["doc_id"], words), "prints")
     return prints.join(classes(prints), "fp").select("doc_id", "fp", "root", "component_id")
@@ -112,13 +115,15 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """docs' columns, one row of each component: that with the smallest doc_id, of rows of that id one with the smallest hash of its text, of equal rows one.
 
-    A component whose ids are all null keeps one of its rows likewise. Null texts: as near_duplicates().
+    A component whose ids are all null keeps one of its rows likewise. Null texts: as near_duplicates(). Rows that share
+    id and text but not other columns: the first by all columns in their order (by their JSON if one holds a map) stays.
     Fingerprints are computed once; texts are shuffled once, on id and text hash, to meet the rows that stay.
     """
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.xxhash64("text").alias("_hash")]
+    key = [F.when(F.col("doc_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string"))).alias("_id"), F.xxhash64("text").alias("_hash")]
     prints = saved(fingerprints(docs.select(*key, "doc_id", "text"), ["_id", "_hash", "doc_id"], words), "prints")
     of = prints.join(classes(prints), "fp")
     stays = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")).alias("s")).select("s._id", "s._hash")
     rows = docs.select(*key, packed(docs).alias("row")).join(saved(stays, "stays"), ["_id", "_hash"])
-    turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("row"))
+    order = F.to_json("row") if "map<" in docs.schema.simpleString() else F.col("row")  # rows with maps can't be ordered
+    turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(order))
     return rows.withColumn("turn", turn).filter("turn = 1").select("row.*")
