@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, packed, saved
+from .common import arrow_bounds, held_out, packed, saved
 from .toxicity import training_rows
 
 FEATURES = ["one", "length", "word_size", "symbols", "bars", "shouts", "upper", "digits", "stops", "repeats", "dup_lines"]
@@ -53,10 +53,10 @@ def train(texts: list[str | None], labels: list[int], ridge: float = 1e-3) -> np
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], max_chars: int) -> np.ndarray:
-    """Trained on at most per_class labelled rows of classes 0 and 1 (see training_rows()); the weights are then moved to the classes' true shares among the labels."""
+    """Trained on at most per_class labelled rows of classes 0 and 1 (see training_rows()); the weights are then moved to the classes' true shares among the labels that aren't held out."""
     rows = training_rows(docs, labels, "quality", per_class, max_chars)
     w = train([r.text for r in rows], [r.y for r in rows])
-    bad, good = labels.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first()
+    bad, good = labels.filter(~held_out(F.col("doc_id"))).agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first()
     n = [max(1, sum(r.y == k for r in rows)) for k in (0, 1)]
     if bad and good:
         w[0] += np.log(good / bad) - np.log(n[1] / n[0])
@@ -96,22 +96,24 @@ def _strength(spark: SparkSession, cells: DataFrame) -> float:
 
 
 def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, host_post, path_post) for each path of evidence (host, path, p), and the mean of all p.
+    """(host, path, host_s, host_n, s, n, host_k, path_k, host_post, path_post) for each path of evidence (host, path, p), and the mean of all p. s, n: sums of p and counts; host_k, path_k: how many documents the priors are worth, the same in all rows.
 
     A host's posterior is its mean drawn towards the global one, a path's its mean drawn towards its host's, each by a
     prior worth as many documents as the cells' spread says; so sparse sites stay near their prior. Sums are combined
-    before the shuffle, so a host of a third of all rows is one small row for each task.
+    before the shuffle, so a host of a third of all rows is one small row for each task. Null host or path: a value of
+    its own. No evidence: no rows, mean 0.5.
     """
     spark = evidence.sparkSession
     paths = saved(evidence.groupBy("host", "path").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"), F.count("*").alias("n")), "paths")
     total = paths.agg(F.sum("s"), F.sum("n")).first()
     mean = total[0] / total[1] if total[1] else 0.5
     hosts = saved(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).withColumn("prior", F.lit(mean)), "hosts")
-    k = _strength(spark, hosts)
-    hosts = hosts.select(F.col("host").alias("of"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_post"))
+    of_host = _strength(spark, hosts)
+    hosts = hosts.select(F.col("host").alias("of"), F.col("s").alias("host_s"), F.col("n").alias("host_n"), ((F.col("s") + of_host * mean) / (F.col("n") + of_host)).alias("host_post"))
     both = saved(paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).drop("of").withColumn("prior", F.col("host_post")), "sites")
-    k = _strength(spark, both)
-    return both.select("host", "path", "host_post", ((F.col("s") + k * F.col("host_post")) / (F.col("n") + k)).alias("path_post")), mean
+    of_path = _strength(spark, both)
+    path_post = ((F.col("s") + of_path * F.col("host_post")) / (F.col("n") + of_path)).alias("path_post")
+    return both.select("host", "path", "host_s", "host_n", "s", "n", F.lit(of_host).alias("host_k"), F.lit(of_path).alias("path_k"), "host_post", path_post), mean
 
 
 def _logit(p: Column) -> Column:
@@ -119,21 +121,26 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def combined(evidence: DataFrame, threshold: float, site_weight: float) -> DataFrame:
-    """evidence (host, path, p, ...) with host_post, path_post, score and accepted."""
-    sites, mean = posteriors(evidence.select("host", "path", "p"))
-    sites = saved(sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_post", "path_post"), "posteriors")
-    both = evidence.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))).drop("_h", "_p")
-    logit = _logit(F.col("p")) + site_weight * (_logit(F.col("path_post")) - _logit(F.lit(mean)))
-    score = 1 / (1 + F.exp(-logit))
-    return both.withColumn("score", score).withColumn("accepted", score >= threshold)
+def combined(rows: DataFrame, sites: DataFrame, mean: float, threshold: float, site_weight: float) -> DataFrame:
+    """rows (host, path, p, ...) with host_post, path_post, score and accepted, from posteriors() of them.
+
+    A row's own p is taken out of its site's sums, so its evidence counts once: the posteriors are those of the site's
+    other documents.
+    """
+    own = ["host_s", "host_n", "s", "n", "host_k", "path_k"]
+    sites = saved(sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), *[F.col(c).alias(f"_{c}") for c in own]), "posteriors")
+    both = rows.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))).drop("_h", "_p")
+    both = both.withColumn("host_post", (F.col("_host_s") - F.col("p") + F.col("_host_k") * mean) / (F.col("_host_n") - 1 + F.col("_host_k")))
+    both = both.withColumn("path_post", (F.col("_s") - F.col("p") + F.col("_path_k") * F.col("host_post")) / (F.col("_n") - 1 + F.col("_path_k")))
+    score = 1 / (1 + F.exp(-(_logit(F.col("p")) + site_weight * (_logit(F.col("path_post")) - _logit(F.lit(mean))))))
+    return both.drop(*[f"_{c}" for c in own]).withColumn("score", score).withColumn("accepted", score >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, site_weight: float = 0.5, per_class: tuple[int, int] = (4000, 4000), max_chars: int = 30_000) -> DataFrame:
     """(doc_id, p, host_post, path_post, score, accepted) of each row.
 
     p comes from the whole text alone, by a logistic regression learnt from at most per_class labelled rows of
-    classes 0 and 1. Sites' posteriors come from all rows' p. score: p's log odds moved by site_weight times those of the path's
+    classes 0 and 1. Sites' posteriors come from all other rows' p. score: p's log odds moved by site_weight times those of the path's
     posterior over the global mean. host is the source by default, path the source's language.
 
     Null text: that of an empty one. Null host or path: a site of its own. Repeated rows count as often as they occur.
@@ -143,7 +150,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     path = F.col("lang") if path is None else path
     w = fitted(docs, labels, per_class, max_chars)
     evidence = saved(scored(docs, w, [F.col("doc_id"), host.alias("host"), path.alias("path")]), "evidence")
-    return combined(evidence, threshold, site_weight).select("doc_id", "p", "host_post", "path_post", "score", "accepted")
+    return combined(evidence, *posteriors(evidence.select("host", "path", "p")), threshold, site_weight).select("doc_id", "p", "host_post", "path_post", "score", "accepted")
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, site_weight: float = 0.5, per_class: tuple[int, int] = (4000, 4000), max_chars: int = 30_000) -> DataFrame:
@@ -152,9 +159,5 @@ def drop_poor(docs: DataFrame, labels: DataFrame, host: Column | None = None, pa
     path = F.col("lang") if path is None else path
     w = fitted(docs, labels, per_class, max_chars)
     sites = [host.alias("host"), path.alias("path")]
-    posts, mean = posteriors(scored(docs, w, sites))
-    posts = saved(posts.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_post"), "posteriors")
     rows = scored(docs, w, [packed(docs).alias("row"), *sites])
-    both = rows.join(posts, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    logit = _logit(F.col("p")) + site_weight * (_logit(F.col("path_post")) - _logit(F.lit(mean)))
-    return both.filter(1 / (1 + F.exp(-logit)) >= threshold).select("row.*")
+    return combined(rows, *posteriors(scored(docs, w, sites)), threshold, site_weight).filter("accepted").select("row.*")
