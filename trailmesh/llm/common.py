@@ -16,11 +16,11 @@ WHITE = " \t\n\r\x0b\x0c"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where that is unset and Spark runs in one process (tests) a temporary one. A cluster without the setting raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trailmesh-")
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
@@ -32,10 +32,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/trailmesh-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors, gives the optimizer true sizes."""
     spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, name))
+    df.write.parquet(path := scratch(spark, name), compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,10 +46,22 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_bounds(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bounds what a Python worker gets at once, by rows and by bytes: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def arrow_bounds(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once, by rows and by bytes: texts may be very long.
+
+    Spark reads these settings when a plan runs, which is after the operator has returned, so they stay set in the
+    session; they are the same for every operator, and a session with tighter ones keeps them.
+    """
+    for name, most, read in (("maxRecordsPerBatch", 2000, int), ("maxBytesPerBatch", 16 << 20, _bytes)):
+        key = f"spark.sql.execution.arrow.{name}"
+        own = read(spark.conf.get(key))
+        if own <= 0 or own > most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
 
 
 def packed(df: DataFrame) -> Column:

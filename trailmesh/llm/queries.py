@@ -25,7 +25,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.sound_features(telephony.store_texts(table(spark, sf_dir, "documents")))
+    return telephony.sound_features(telephony.stored_texts(table(spark, sf_dir, "documents")))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_bounds, by_bytes
+from .common import arrow_bounds, by_bytes, saved
 
 A_LAW, MU_LAW, IMA_ADPCM = 6, 7, 0x11
 RATE = 8000
@@ -68,9 +68,15 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation of 16-bit samples at the new rate, the first sample kept in place."""
+    """16-bit samples at the new rate, the first sample kept in place: linear interpolation; to a lower rate, of the means over a new sample's time, which damp what the new rate can't hold."""
     if rate == to or not len(pcm):
         return pcm.astype("<i2")
+    if to < rate:
+        width = -(-rate // to)
+        total = np.concatenate([[0], np.cumsum(pcm.astype(np.int64))])
+        lo = np.maximum(np.arange(len(pcm)) - (width - 1) // 2, 0)
+        hi = np.minimum(np.arange(len(pcm)) + width // 2 + 1, len(pcm))
+        pcm = (total[hi] - total[lo]) // (hi - lo)
     at = np.arange(len(pcm) * to // rate, dtype=np.int64) * rate
     left, part = at // to, at % to
     right = np.minimum(left + 1, len(pcm) - 1)
@@ -104,7 +110,7 @@ def read_wav(media: bytes | None) -> tuple[int, int, int, bytes] | None:
 
 
 def decode_many(tracks: list[tuple[int, int, bytes]]) -> list[np.ndarray | None]:
-    """PCM of each (kind, block width, data); None for other kinds. ADPCM blocks of equal width are decoded together; a last short block is padded with zeros and its padding cut off."""
+    """PCM of each (kind, block width, data); None for other kinds. ADPCM blocks of equal width are decoded together; a last short block is padded with zeros and its padding cut off, and one too short for its 4 bytes of head gives no samples."""
     out: list[np.ndarray | None] = [None] * len(tracks)
     tables = {MU_LAW: mu_law_table(), A_LAW: a_law_table()}
     widths: dict[int, list[int]] = {}
@@ -119,8 +125,9 @@ def decode_many(tracks: list[tuple[int, int, bytes]]) -> list[np.ndarray | None]
         at = 0
         for i, k in zip(own, n):
             whole = pcm[at : at + k].ravel()
-            short = -len(tracks[i][2]) % width
-            out[i], at = whole[: max(0, len(whole) - 2 * short)] if short else whole, at + k
+            own_bytes = len(tracks[i][2])
+            full, rest = own_bytes // width, own_bytes % width
+            out[i], at = whole[: full * (2 * width - 7) + (1 + 2 * (rest - 4) if rest >= 4 else 0)], at + k
     return out
 
 
@@ -163,28 +170,40 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return one.mapInArrow(run, f"doc_id {dict(one.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
+def stored_texts(docs: DataFrame) -> DataFrame:
+    """store_texts() as a written table of the shared folder, read again. Cases as there."""
+    return saved(store_texts(docs), "media", compression="zstd")
+
+
 def sound_features(stored: DataFrame, to: int = 16000) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of store_texts().
 
     All is computed from the stored file's samples: as they are (mu-law), and, to use every decoder, the same bytes
     taken as A-law and as ADPCM blocks of 576 bytes. feature names for each: samples, peak, mean square to the
     integer, sign changes and the CRC-32 of the PCM; mu-law's PCM is at the rate to.
+    Null or other media: null in all columns but doc_id, n_bytes and, where there are bytes, media_bytes and media_sha256. Empty table: no rows.
     """
     arrow_bounds(stored.sparkSession)
 
     def summed(name: str, pcm: np.ndarray) -> str:
         x = pcm.astype(np.int64)
-        return f"{name}:{len(x)},{np.abs(x).max()},{int((x * x).sum()) // len(x)},{int(((x[1:] < 0) != (x[:-1] < 0)).sum())},{zlib.crc32(pcm.tobytes()):08x}"
+        return f"{name}:{len(x)},{np.abs(x).max(initial=0)},{int((x * x).sum()) // max(1, len(x))},{int(((x[1:] < 0) != (x[:-1] < 0)).sum())},{zlib.crc32(pcm.tobytes()):08x}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column(2).to_pylist()
-            for lo, hi in by_bytes(files, 2 << 20):
+            for lo, hi in by_bytes([m or b"" for m in files], 2 << 20):
                 rows = []
                 read = [read_wav(m) for m in files[lo:hi]]
-                pcm = decode_many([(kind, width, data) for _, _, _, data in read for kind, width in ((MU_LAW, 1), (A_LAW, 1), (IMA_ADPCM, BLOCK))])
-                for k, (media, (_, rate, _, data)) in enumerate(zip(files[lo:hi], read)):
-                    mu, a, ima = pcm[3 * k : 3 * k + 3]
+                pcm = iter(decode_many([(kind, width, r[3]) for r in read if r and r[3] for kind, width in ((MU_LAW, 1), (A_LAW, 1), (IMA_ADPCM, BLOCK))]))
+                for media, r in zip(files[lo:hi], read):
+                    if not r or not r[3] or not r[1]:
+                        for _ in range(3 if r and r[3] else 0):
+                            next(pcm)
+                        rows.append((None, None, None, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), None))
+                        continue
+                    rate, data = r[1], r[3]
+                    mu, a, ima = next(pcm), next(pcm), next(pcm)
                     feature = ";".join((summed("mu", resample(mu, rate, to)), summed("a", a), summed("ima", ima)))
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
                 part, cols = b.slice(lo, hi - lo), list(zip(*rows))

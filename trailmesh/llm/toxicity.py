@@ -73,7 +73,7 @@ class Model:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         bags = [set(WORDS((t or "").lower())) for t in texts]
-        fresh = set().union(*bags) - self.known.keys() if bags else set()
+        fresh = {w for b in bags for w in b if w not in self.known}
         if len(self.known) + len(fresh) > self.most:
             self.known.clear()
             fresh = set().union(*bags)
