@@ -37,6 +37,18 @@ SENTENCES = {
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
     "see the gnu general public license for more details": "gpl-see",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-notice",
+    "gnu lesser general public license": "lgpl-title",
+    "version 2 1 february 1999": "lgpl21-version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "gnu affero general public license": "agpl-title",
+    "version 3 19 november 2007": "agpl3-version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "epl2-notice",
+    "eclipse public license v 2 0": "epl2-title",
+    "boost software license version 1 0": "bsl1-title",
+    "distributed under the boost software license version 1 0": "bsl1-notice",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-grant",
     "licensed under cc by nc 4 0": "ccbync4-notice",
     "licensed under cc by 4 0": "ccby4-notice",
     "licensed under cc by sa 4 0": "ccbysa4-notice",
@@ -54,6 +66,12 @@ RULES = {
     "BSD-2-Clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
     "GPL-3.0": [["gpl3-notice"], ["gpl3-grant"], ["gpl-title", "gpl3-version"]],
     "GPL-2.0": [["gpl2-grant"], ["gpl-title", "gpl2-version"]],
+    "LGPL-2.1": [["lgpl21-grant"], ["lgpl-title", "lgpl21-version"]],
+    "LGPL-3.0": [["lgpl3-grant"], ["lgpl-title", "gpl3-version"]],
+    "AGPL-3.0": [["agpl3-grant"], ["agpl-title", "agpl3-version"]],
+    "EPL-2.0": [["epl2-notice"], ["epl2-title"]],
+    "BSL-1.0": [["bsl1-notice"], ["bsl1-title"]],
+    "CC0-1.0": [["cc0-grant"]],
     "MPL-2.0": [["mpl2-notice"]],
     "CC-BY-NC-4.0": [["ccbync4-notice"]],
     "CC-BY-4.0": [["ccby4-notice"]],
