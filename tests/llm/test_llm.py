@@ -399,6 +399,12 @@ PUBLISHED = {
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\n\nVersion 2.1, February 1999",
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\n\nVersion 3, 19 November 2007",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at\n\nhttps://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
 }
 PUBLISHED["BSD-3-Clause"] = PUBLISHED["BSD-2-Clause"].replace("(1)", "1.").replace("(2)", "2.") + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
@@ -471,11 +477,197 @@ def test_best_fit_keeps_every_capacity(rule):
     assert all(sum(v) <= 100 and len(v) <= 4 and sum(x * x for x in v) <= 10_000 for v in used.values())
 
 
+def test_best_fit_against_one_piece_at_a_time():
+    """Each piece by itself goes to the sequence of the smallest weighted norm of what then remains."""
+    rng = np.random.default_rng(9)
+    for caps in ((60, 5, 1800), (60, 60, 3600), (60, 3, 3600)):
+        counts = {int(k): int(rng.integers(1, 9)) for k in rng.choice(np.arange(1, 41), 20, replace=False)}
+        bins: list[list[int]] = []
+        for x in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+            best = None
+            for i, b in enumerate(bins):
+                used = [sum(b) + x, len(b) + 1, sum(v * v for v in b) + x * x]
+                if all(u <= c for u, c in zip(used, caps)):
+                    before = (sum(b), len(b), sum(v * v for v in b))
+                    score = (sum(((c - u) / c) ** 2 for u, c in zip(used, caps)), before)
+                    if best is None or score < best[0]:
+                        best = (score, i)
+            if best is None:
+                bins.append([x])
+            else:
+                bins[best[1]].append(x)
+        slots, total = packing.best_fit(counts, *caps)
+        got: dict[int, list[int]] = {}
+        for s in slots:
+            for r in range(s.lo, s.hi):
+                got.setdefault(s.base + (r - s.lo) // s.per, []).append(s.length)
+        assert total == len(bins) and sorted(map(sorted, got.values())) == sorted(map(sorted, bins)), caps
+
+
+def test_byte_bpe_against_the_library():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    bpe, library = packing.ByteBpe(file, public_tokenizers.PATTERN, most=50), Tokenizer.from_file(file)
+    for t in ["", "a<|endoftext|>b  <|endoftext|>", "\u0558x \u208f9 y\u0c5c", "  \n\n x'll 'S I've\t\t", "x" * 5000 + " " * 300 + "é" * 99, "<|endoftext", "\r\n\u00a0\u3000 a", *[f"word{i} and {i * 7} more" for i in range(40)]]:
+        assert bpe.ids(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def xxh64(data: bytes, seed: int) -> int:
+    """XXH64 by its published description."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    mask = (1 << 64) - 1
+    rot = lambda x, r: ((x << r) | (x >> (64 - r))) & mask
+    step = lambda acc, lane: rot((acc + lane * p2) & mask, 31) * p1 & mask
+    at = 0
+    if len(data) >= 32:
+        acc = [(seed + p1 + p2) & mask, (seed + p2) & mask, seed, (seed - p1) & mask]
+        while at + 32 <= len(data):
+            for k in range(4):
+                acc[k] = step(acc[k], int.from_bytes(data[at + 8 * k : at + 8 * k + 8], "little"))
+            at += 32
+        h = sum(rot(a, r) for a, r in zip(acc, (1, 7, 12, 18))) & mask
+        for a in acc:
+            h = ((h ^ step(0, a)) * p1 + p4) & mask
+    else:
+        h = (seed + p5) & mask
+    h = (h + len(data)) & mask
+    while at + 8 <= len(data):
+        h = (rot(h ^ step(0, int.from_bytes(data[at : at + 8], "little")), 27) * p1 + p4) & mask
+        at += 8
+    if at + 4 <= len(data):
+        h = (rot(h ^ (int.from_bytes(data[at : at + 4], "little") * p1 & mask), 23) * p2 + p3) & mask
+        at += 4
+    for byte in data[at:]:
+        h = rot(h ^ (byte * p5 & mask), 11) * p1 & mask
+    h = ((h ^ (h >> 33)) * p2) & mask
+    h = ((h ^ (h >> 29)) * p3) & mask
+    return h ^ (h >> 32)
+
+
+def test_fingerprints_bit_by_bit(docs):
+    assert xxh64(b"", 0) == 0xEF46DB3751D8E999
+    for r in simhash.fingerprints(docs.filter("coalesce(length(text), 0) < 3000"), ["text"]).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxh64(s.encode(), 42) for s in shingles]
+        assert r.fp & (2**64 - 1) == sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+
+
+def test_no_neighbour_is_filtered_out(spark):
+    """with_neighbours() by itself: pairs at 0 to 3 bits, wherever the bits lie, and 0 and -1."""
+    rng = np.random.default_rng(11)
+    wrap = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    pairs, fps = [], {0, -1}
+    for k in range(120):
+        a = int(rng.integers(0, 2**63)) * 2 + k % 2
+        b = a
+        for i in rng.choice(64, 1 + k % 3, replace=False) if k % 4 else [20 + k % 5, 41 + k % 3, 63]:
+            b ^= 1 << int(i)
+        pairs.append((wrap(a), wrap(b)))
+        fps |= set(pairs[-1])
+    got = {r.fp for r in simhash.with_neighbours(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    assert all(a in got and b in got for a, b in pairs) and len(got) <= len(fps)
+    assert simhash.with_neighbours(spark.createDataFrame([(1 << 40,), (0,), (-1,)], "fp long")).count() == 2
+
+
+def test_dropping_near_duplicates_with_maps_and_odd_ids(spark):
+    rows = [("null", "a b c d", {"k": 1}), (None, "a b c d", {"k": 2}), ("x", "other words entirely here", {"k": 3}), ("x", "other words entirely here", {"k": 3})]
+    df = spark.createDataFrame(rows, "doc_id string, text string, more map<string,int>")
+    kept = simhash.drop_near_duplicates(df).collect()
+    assert sorted(r.doc_id for r in kept) == ["null", "x"] and {r.doc_id: r.more for r in kept}["null"] == {"k": 1}
+
+
+def test_telephony_of_odd_media(spark):
+    odd = [(1, 0, None), (2, 0, bytearray(b"junk")), (3, 0, bytearray(telephony.wav(7, b""))), (4, 3, bytearray(telephony.wav(7, b"abc"))), (5, 3, bytearray(telephony.wav(7, b"abc", rate=0)))]
+    got = {r.doc_id: r for r in telephony.sound_features(spark.createDataFrame(odd, "doc_id int, n_bytes long, media binary")).collect()}
+    assert [got[i].payload_bytes for i in range(1, 6)] == [None, None, None, 3, None] and got[1].media_bytes is None and got[2].media_bytes == 4
+    assert [len(p) for p in telephony.decode_many([(0x11, 36, bytes(36 + k)) for k in range(6)])] == [65, 65, 65, 65, 66, 68]
+    pcm = np.arange(-40, 40, dtype="<i2") * 100
+    assert len(telephony.resample(pcm, 16000, 8000)) == 40 and np.abs(telephony.resample(np.tile([1000, -1000], 40).astype("<i2"), 16000, 8000)).max() <= 500
+    assert telephony.resample(np.full(50, 77, "<i2"), 44100, 8000).tolist() == [77] * 9
+
+
+def test_telephony_features_by_hand(docs):
+    import hashlib
+
+    out = {r.doc_id: r for r in telephony.sound_features(telephony.stored_texts(docs)).collect()}
+    for r in docs.filter("coalesce(length(text), 0) < 2000 and doc_id is not null").dropDuplicates(["doc_id"]).collect():
+        if r.doc_id == 3:
+            continue
+        raw = (r.text or "").encode()
+        data = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        head = b"RIFF" + (50 + len(data)).to_bytes(4, "little") + b"WAVEfmt " + bytes([18, 0, 0, 0, 7, 0, 1, 0]) + (8000).to_bytes(4, "little") * 2 + bytes([1, 0, 8, 0, 0, 0]) + b"fact" + bytes([4, 0, 0, 0]) + len(data).to_bytes(4, "little") + b"data" + len(data).to_bytes(4, "little")
+        mu = []
+        for b in data:
+            u = ~b & 255
+            size = ((((u & 15) << 3) + 132) << (u >> 4 & 7)) - 132
+            mu.append(-size if u & 128 else size)
+        x = [v for k in range(len(mu)) for v in (mu[k], (mu[k] + mu[min(k + 1, len(mu) - 1)]) // 2)]
+        want = f"mu:{len(x)},{max(map(abs, x))},{sum(v * v for v in x) // len(x)},{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))},{zlib.crc32(np.array(x, '<i2').tobytes()):08x}"
+        got = out[r.doc_id]
+        assert (got.n_bytes, got.payload_sha256, got.media_bytes, got.media_sha256) == (len(raw), hashlib.sha256(data).hexdigest(), len(head + data), hashlib.sha256(head + data).hexdigest())
+        assert got.feature.split(";")[0] == want
+
+
+def test_a_row_is_no_evidence_for_itself(spark):
+    """Leave-one-out sums, against a loop."""
+    rng = np.random.default_rng(12)
+    rows = [(i, f"h{i % 3}", f"p{i % 5}", float(rng.uniform(0.05, 0.95))) for i in range(60)] + [(60, "lone", "lone", 0.9)]
+    df = spark.createDataFrame(rows, "id int, host string, path string, p double")
+    sites, mean = quality.posteriors(df.select("host", "path", "p"))
+    k = sites.first()
+    for r in quality.combined(df, sites, mean, 0.5, 0.5).collect():
+        others = [x for x in rows if x[0] != r.id]
+        of = lambda rows: (sum(x[3] for x in rows), len(rows))
+        hs, hn = of([x for x in others if x[1] == r.host])
+        host = (hs + k.host_k * mean) / (hn + k.host_k)
+        ps, pn = of([x for x in others if x[1] == r.host and x[2] == r.path])
+        path = (ps + k.path_k * host) / (pn + k.path_k)
+        logit = lambda p: np.log(p / (1 - p))
+        assert (r.host_post, r.path_post) == (pytest.approx(host), pytest.approx(path))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(logit(r.p) + 0.5 * (logit(path) - logit(mean))))))
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    """Each stage against a loop over what the operators say of its own input."""
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    own.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
-    for _, f in corpus_pipeline.STAGES[2:4]:
-        assert f(spark, d, str(tmp_path)).columns == d.columns
-    assert set(corpus_pipeline.run(spark, str(tmp_path)).columns) >= {"doc_id", "sequence_id", "offset"}
+    d, folder = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    key = lambda rows: sorted(map(str, rows))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality classifier", "toxicity", "simhash near-dedup", "mixing", "packing"]
+    rows = d.collect()
+    accepted = {(r.doc_id, r.accepted) for r in quality.classify(d, labels).collect() if r.doc_id != 3}
+    got = stages["quality classifier"](spark, d, folder).collect()
+    assert key(r for r in got if r.doc_id != 3) == key(r for r in rows if (r.doc_id, True) in accepted)
+    predicted = {(r.doc_id, r.predicted) for r in toxicity.toxicity(d, labels).collect() if r.doc_id != 3}
+    got = stages["toxicity"](spark, d, folder).collect()
+    assert key(r for r in got if r.doc_id != 3) == key(r for r in rows if (r.doc_id, 0) in predicted)
+    root = _groups([simhash.fingerprint(r.text) for r in rows])
+    first: dict[int, tuple] = {}
+    for r, g in zip(rows, root):
+        first[g] = min(first.get(g, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    got = stages["simhash near-dedup"](spark, d, folder)
+    assert got.columns == d.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(first.values())
+    copies = [r.row for r in mixing.mix_plan(d).collect() for _ in range(r.copies)]
+    got = stages["mixing"](spark, d, folder)
+    assert got.columns == d.columns and key(got.collect()) == key(copies)
+    pieces = stages["packing"](spark, d, folder).collect()
+    held: dict[int, list] = {}
+    for r in pieces:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(len(v) <= 16 and sum(x for _, x in v) <= 1024 for v in held.values()) and sum(r.piece == 0 for r in pieces) == len(rows)
+    assert set(corpus_pipeline.run(spark, folder).columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from trailmesh.llm.common import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(far)
