@@ -29,8 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of documents and their places in sequences of at most 1024 tokens and 16 pieces."""
+    return packing.pack_documents(docs, max_docs=16)
 
 
 STAGES = [("quality classifier", good), ("toxicity", civil), ("simhash near-dedup", distinct), ("mixing", mixed), ("packing", packed)]
