@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trailmesh.functions import geo
-from trailmesh.operators import matching, modes, places, points, roads
+from trailmesh.functions import geo, times
+from trailmesh.operators import matching, modes, places, points, roads, stats, tracks
 from trailmesh.plans import queries as Q
 from trailmesh.sources import tables
 
@@ -150,7 +150,236 @@ def test_decode_takes_the_cheapest_chain(spark):
     assert [(r.link_a, r.link_b) for r in matching.decode(df).orderBy("seq").collect()] == [("b", "d"), ("d", "e")]
 
 
-@pytest.mark.parametrize("name", ["clean_points", "kept_tracks", "track_kinematics", "od_matrix", "home_places", "speed_band_shares", "road_distances"])
+def enumerated(rows, first, last):
+    """The cheapest of all chains from layer first to layer last, of equal ones that with the smallest links from the end backwards."""
+    best = None
+
+    def walk(seq, link, cost, chain):
+        nonlocal best
+        if seq == last:
+            key = (cost, [c[3] for c in chain[::-1]], [c[2] for c in chain[::-1]])
+            best = min(best, (key, chain), key=lambda x: x[0]) if best else (key, chain)
+        for r in rows:
+            if r[0] == seq and (link is None or r[2] == link):
+                walk(r[1], r[3], cost + r[4], [*chain, r])
+
+    walk(first, None, 0.0, [])
+    return [] if best is None else [(r[0], r[2], r[3]) for r in best[1]]
+
+
+def test_decode_against_enumerated_chains(spark):
+    """Whole chains, and trips without a route at the start, in the middle or at the end."""
+    rng = np.random.default_rng(13)
+    trips, rows = {}, []
+    for n in range(60):
+        layers, own = [0, 1, 3, 4, 7][: 3 + n % 3], []
+        for k, (s, e) in enumerate(zip(layers, layers[1:])):
+            cut = (n % 5 == 1 and k == 0) or (n % 5 == 2 and k == len(layers) - 2) or (n % 5 == 3 and k == 1)
+            for a in "abc":
+                for b in "abc":
+                    if not cut and rng.random() < 0.7:
+                        own.append((s, e, a, b, float(rng.integers(0, 4))))
+        trips[f"t{n}"] = (own, layers[0], layers[-1])
+        rows += [(f"t{n}", s, e, layers[0], layers[-1], a, b, 0.0, 0.0, 0.0, c) for s, e, a, b, c in own]
+    df = spark.createDataFrame(rows, "trip_id string, seq int, next_seq int, first_seq int, last_seq int, link_a string, link_b string, offset_a double, offset_b double, route double, cost double")
+    got = {}
+    for r in matching.decode(df).orderBy("trip_id", "seq").collect():
+        got.setdefault(r.trip_id, []).append((r.seq, r.link_a, r.link_b))
+    cost = lambda own, chain: sum(next(c for s, _, a, b, c in own if (s, a, b) == x) for x in chain)
+    for t, (own, first, last) in trips.items():
+        want = enumerated(own, first, last)
+        assert bool(want) == (t in got), t
+        if want:
+            assert cost(own, got[t]) == cost(own, want) and got[t][0][0] == first, t
+    assert sum(t in got for t in trips) > 15 and any(t not in got for t in trips)
+
+
+def test_a_trip_whose_end_has_no_route_is_unmatched(spark):
+    links = spark.createDataFrame([("l1", "a", "b", 100.0, [(0.0, 0.0), (100.0, 0.0)]), ("l2", "b", "c", 100.0, [(100.0, 0.0), (200.0, 0.0)]), ("far", "x", "y", 100.0, [(200.0, 90.0), (300.0, 90.0)])], "index string, a string, b string, length double, geometry array<struct<x:double,y:double>>")
+    rows = [("whole", 0, 10, 0), ("whole", 1, 110, 0), ("end", 0, 10, 0), ("end", 1, 110, 0), ("end", 2, 290, 90), ("start", 0, 290, 90), ("start", 1, 10, 0), ("start", 2, 110, 0), ("alone", 0, 10, 0), ("nowhere", 0, 9999, 9999), ("nowhere", 1, 9998, 9999)]
+    p = spark.createDataFrame([(t, 1, k, False, x, y) for t, k, x, y in rows], "phone_id string, track_no int, ts long, stop boolean, x long, y long")
+    found, unmatched, steps = matching.map_match(p, links, radius=30)
+    assert [(r.trip_id, r.path) for r in found.collect()] == [("whole_1", ["l1", "l2"])]
+    assert {r.trip_id for r in unmatched.collect()} == {"end_1", "start_1", "alone_1", "nowhere_1"}
+    assert [(q.x, q.y) for q in found.first().geometry] == [(0, 0), (100, 0), (200, 0)]
+    assert steps.first().offset_a == 10 and steps.first().route == 100
+    near = matching.candidates(matching.trip_points(p), links, 150, centroid_prefilter=1)
+    assert {(r.trip_id, r.seq): r.link for r in near.collect()}["whole_1", 1] == "l2"
+
+
+def test_shortest_paths_to_wanted_places(spark):
+    """Costs and paths, ties included, by both forms and by Bellman and Ford."""
+    rng = np.random.default_rng(14)
+    rows = [(f"n{rng.integers(9)}", f"n{rng.integers(9)}", float(rng.integers(1, 4)), f"e{i:03d}") for i in range(30)] + [("x", "y", 1.0, "e900")]
+    raw = spark.createDataFrame([(f"{l}", a, b, c) for a, b, c, l in rows], "index string, a string, b string, length double")
+    e = roads.graph(raw)
+    edges = [(r.a, r.b, r.cost, r.link) for r in e.collect()]
+    nodes = sorted({n for a, b, *_ in edges for n in (a, b)})
+    best = {(n, n): (0.0, []) for n in nodes}
+    for _ in range(2 * len(nodes)):
+        for a, b, c, l in edges:
+            for n in nodes:
+                if (n, a) in best:
+                    new = (best[n, a][0] + c, [l, *best[n, a][1]])
+                    if (n, b) not in best or new < best[n, b]:
+                        best[n, b] = new
+    wanted = spark.createDataFrame([(a, b) for a in nodes[:5] for b in nodes[2:]] + [("n1", "x"), ("nobody", "n1")], "origin string, target string")
+    want = {(a, b): best[a, b] for a in nodes[:5] for b in nodes[2:] if (a, b) in best}
+    for f in (roads.road_costs, roads.road_costs_joined):
+        assert {(r.origin, r.target): (r.cost, r.path[::-1]) for r in f(e, wanted).collect()} == want, f
+        assert {(r.origin, r.target): r.cost for r in f(e, wanted, paths=False).collect()} == {k: v[0] for k, v in want.items()}
+    assert roads.road_costs(e, wanted, most_bytes=0).count() == len(want)
+    assert roads.road_costs(e.limit(0), wanted).count() == 0
+
+
+def test_dbscan_against_a_loop():
+    rng = np.random.default_rng(15)
+    for n in range(60):
+        size, least = int(rng.integers(1, 70)), 2 + n % 3
+        x, y = rng.integers(0, 60, size) * 10.0, rng.integers(0, 60, size) * 10.0
+        if n % 4 == 0:
+            x[: size // 2], y[: size // 2] = x[0], y[0]
+        near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 100.0**2
+        core, label, k = near.sum(1) >= least, np.full(size, -1), 0
+        for i in range(size):
+            if core[i] and label[i] < 0:
+                todo, label[i] = [i], k
+                while todo:
+                    j = todo.pop()
+                    for m in np.flatnonzero(near[j]) if core[j] else []:
+                        if label[m] < 0:
+                            label[m] = k
+                            todo.append(m)
+                k += 1
+        assert places.dbscan(x, y, 100.0, least).tolist() == label.tolist(), n
+
+
+def test_dbscan_of_a_phone_at_rest():
+    """Memory: forty thousand points in one place and as many spread over one cell."""
+    import tracemalloc
+
+    rng = np.random.default_rng(16)
+    x, y = np.concatenate([np.zeros(40_000), rng.integers(0, 70, 40_000)]).astype(float), np.concatenate([np.zeros(40_000), rng.integers(0, 70, 40_000)]).astype(float)
+    tracemalloc.start()
+    assert set(places.dbscan(x, y).tolist()) == {0}
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_times_in_any_session(spark):
+    texts = [("2023-03-01 08:15:00 UTC", 1677658500), ("1970-01-01 00:00:00", 0), ("2023-03-26 02:30:00 UTC", 1679797800), ("2023-03-01T08:15:00+02:00", 1677651300), (None, None)]
+    for zone in ("America/New_York", "Europe/Paris", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = spark.createDataFrame(texts, "t string, ts long")
+            for r in df.select("*", times.parse_utc(F.col("t")).alias("got"), times.hour(F.col("ts")).alias("h"), times.day_name(F.col("ts")).alias("d"), times.text(F.col("ts")).alias("s"), times.of_local(F.to_timestamp_ntz(F.substring("t", 1, 19))).alias("n")).collect():
+                assert r.got == r.ts
+                if r.ts is not None:
+                    want = pd.Timestamp(r.ts, unit="s")
+                    assert (r.h, r.d, r.s) == (want.hour, f"{want.year}-{want.month}-{want.day}", want.strftime("%Y-%m-%d %H:%M:%S UTC")), zone
+                    assert "+" in r.t or r.n == r.ts
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(one(spark, times.hours_minutes(F.lit(3599.0)))) == (0, 60) and tuple(one(spark, times.hours_minutes(F.lit(7290.0)))) == (2, 2)
+
+
+def test_equal_width_against_numpy(spark):
+    rng = np.random.default_rng(17)
+    for v in (rng.normal(0, 5, 500), np.full(7, 3.0), np.array([1.0, 2.0])):
+        n, edges = np.histogram(v, bins=30)
+        got = {r.bin: (r.lo, r.n) for r in stats.equal_width(spark.createDataFrame([(float(x),) for x in v], "v double"), F.col("v"), 30).collect()}
+        assert {k: got[k][1] for k in got} == {k: int(c) for k, c in enumerate(n) if c}
+        assert all(lo == pytest.approx(edges[k]) for k, (lo, _) in got.items())
+    assert stats.equal_width(spark.range(0).select(F.col("id").alias("v")), F.col("v"), 3).count() == 0
+    for v in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0, 2.0], []):
+        got = stats.markers(spark.createDataFrame([(x,) for x in v], "v double"), F.col("v")).first()
+        assert tuple(got) == ((round(float(np.median(v)), 1), round(float(np.mean(v)), 1)) if v else (None, None))
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.5],), ([],), (None,)], "v array<double>")
+    assert [r.s for r in df.select(tracks.running_sums(F.col("v")).alias("s")).collect()] == [[1, 3, 6.5], [], None]
+
+
+def test_save_clears_stale_frames(spark):
+    folder = f"{tables.shared_folder(spark)}/model-test"
+    tables.save_model({"points": spark.range(3), "tracks": spark.range(4), "phones": None}, folder)
+    again = tables.load_model(spark, folder, ("points",))["points"].filter("id > 0")
+    tables.save_model({"points": again, "zones": spark.range(2)}, folder, omitted=("zones",))
+    assert os.listdir(folder.removeprefix("file://")) == ["points"] and tables.load_model(spark, folder, ("points",))["points"].count() == 2
+    assert not [n for n in os.listdir(os.path.dirname(folder.removeprefix("file://"))) if n.startswith("model-test-")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(far)
+
+
+def test_line_centroid_and_plottable_lines(spark):
+    got = one(spark, geo.line_centroid(line((0, 0), (10, 0), (10, 30))))
+    assert (got.x, got.y) == (pytest.approx(8.75), pytest.approx(11.25))
+    df = spark.createDataFrame([("a", [(0.0, 0.0), (1.0, 0.0)]), ("b", [(0.0, 0.0), (0.0, 0.0)]), ("c", [(0.0, 0.0)]), ("d", None)], "index string, geometry array<struct<x:double,y:double>>")
+    assert [r["index"] for r in stats.plottable_lines(df).collect()] == ["a"]
+
+
+def test_long_tracks_methods(spark):
+    df = spark.createDataFrame([("p", 1, 0, 0, 0, 121.0), ("p", 1, 1, 0, 300, 0.0)], "phone_id string, track_no int, ts long, x long, y long, t double")
+    assert points.long_tracks(df, method="remove").count() == points.long_tracks(df, method="delete").count() == 2
+    for bad, error in (("stick", NotImplementedError), ("drop", ValueError)):
+        with pytest.raises(error):
+            points.long_tracks(df, method=bad)
+
+
+def test_model_end_to_end(spark):
+    from trailmesh.plans.model import MobilityModel
+
+    p = tables.points(spark, DATA)
+    raw = p.select("ord", F.col("phone_id").alias("sptId"), "accuracy", "os", "longitude", "latitude", times.text(F.col("ts")).alias("eventDate"))
+    m = MobilityModel(raw)
+    with pytest.raises(ValueError, match="filter"):
+        m.build_tracks()
+    with pytest.raises(ValueError, match="tracks"):
+        m.get_volumes()
+    m.filtering()
+    m.points = m.points.withColumn("x", F.col("x") - 600_000).withColumn("y", F.col("y") - 6_750_000)
+    m.build_tracks(**Q.HOW)
+    own = m.copy()
+    m.set_zoning(tables.zones(m.points))
+    m.set_rail_network(tables.rails(spark))
+    m.set_road_network(roads.two_way(tables.grid_roads(spark)))
+    m.get_volumes()
+    m.phones_dataset_analysis()
+    m.get_home_place()
+    m.get_work_place()
+    m.inference_mode_logic_rules(modes.Rules(radius=2000))
+    m.inference_mode_hybrid()
+    m.mapmatching(radius=5000)
+    m.loaded_network()
+    assert own.zones is None and own.tracks is not None
+    n = m.tracks.count()
+    assert n == own.tracks.count() > 0 and m.volumes.agg(F.sum("counts")).first()[0] <= n
+    assert {"domicile", "emploi", "nbr_points"} <= set(m.phones.columns) and {"nbr_domicile", "nbr_emploi", "repr_rate_home", "repr_rate_work"} <= set(m.zones.columns)
+    assert m.tracks.filter("mode_computed_hybrid is null").count() == 0
+    assert m.tracks_mapmatched.count() + m.tracks_unmatched.count() == n and m.road_links.agg(F.sum("tracks_count")).first()[0] >= m.tracks_mapmatched.count()
+    text = m.describe().first()
+    assert int(text.n_tracks.replace(",", "")) == n
+    seen = m.analysis_tracks()
+    assert sum(r.n for r in seen["minutes"].collect()) == n and seen["km_markers"].first().mean > 0 and seen["days"].count() > 0
+    assert {"accuracy", "accuracy_share", "systems"} == set(m.analysis_points())
+    assert m.representativity().first().n >= 0 and m.representativity(work=True).first().n >= 0
+    top = m.volumes.orderBy(F.desc("counts")).first().origin
+    flows = {r.zone_id: r.counts for r in m.flow_map(top).collect()}
+    assert len(flows) == m.zones.count() and sum(flows.values()) == m.volumes.filter((F.col("origin") == top) & (F.col("destination") != top)).agg(F.sum("counts")).first()[0]
+    folder = f"{tables.shared_folder(spark)}/whole-model"
+    m.save(folder, only=("tracks", "zones"))
+    back = MobilityModel.load(spark, folder, ("tracks", "zones"))
+    assert back.tracks.count() == n and back.points is None
+
+
+@pytest.mark.parametrize("name", ["filtering", "rail_overlap", "mode_rules", "mode_scores_all", "mode_hybrid_near_rails", "match_path", "match_unmatched", "link_loads", "road_paths", "hist_minutes", "duration_markers", "clean_points", "kept_tracks", "track_kinematics", "od_matrix", "home_places", "speed_band_shares", "road_distances"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):

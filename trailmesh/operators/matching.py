@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,71 +24,112 @@ def trip_points(points: DataFrame) -> DataFrame:
 def candidates(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, centroid_prefilter: int | None = None) -> DataFrame:
     """(trip_id, seq, link, dist, offset, rank): for each point the at most `most` nearest links within radius.
 
-    Links meet points over grid cells of radius; nothing is lost, so this holds all that a search of the nearest
-    centroids would find within radius. centroid_prefilter keeps only that many links by distance of their centroids.
+    Links' segments meet points over grid cells of radius, a point lying in one cell; nothing is lost, so this holds all
+    that a search of the nearest centroids would find within radius. Of a link's segments the nearest counts, of equally
+    near ones the earliest. centroid_prefilter keeps only that many links by distance of their centroids.
     """
-    seg = links.select("index", "a", "b", "length", "geometry", F.explode(geo.segments(F.col("geometry"))).alias("s"))
+    seg = links.select("index", F.posexplode(geo.segments(F.col("geometry"))).alias("k", "s"))
     s = F.col("s")
+    seg = seg.withColumn("l", geo.distance(s.ax, s.ay, s.bx, s.by))
+    before = F.sum("l").over(Window.partitionBy("index").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     box = (F.least(s.ax, s.bx) - radius, F.least(s.ay, s.by) - radius, F.greatest(s.ax, s.bx) + radius, F.greatest(s.ay, s.by) + radius)
-    grid = seg.select("index", F.explode(geo.cells(*box, radius)).alias("c")).distinct()
+    grid = seg.withColumn("m", F.coalesce(before, F.lit(0.0))).withColumn("c", F.explode(geo.cells(*box, radius)))
     p = points.withColumn("c", F.struct(F.floor(F.col("x") / radius).cast("long").alias("cx"), F.floor(F.col("y") / radius).cast("long").alias("cy")))
-    pairs = p.join(grid, "c").drop("c").join(links.select("index", "geometry"), "index")
-    near = pairs.withColumn("n", geo.nearest_on_line(F.col("x"), F.col("y"), F.col("geometry"))).filter(F.col("n.dist") < radius)
+    pairs = p.join(grid, "c").withColumn("t", geo.project(F.col("x"), F.col("y"), s))
+    t = F.col("t")
+    pairs = pairs.withColumn("dist", geo.distance(F.col("x"), F.col("y"), s.ax + (s.bx - s.ax) * t, s.ay + (s.by - s.ay) * t)).filter(F.col("dist") < radius)
+    near = pairs.groupBy("trip_id", "seq", F.col("index").alias("link")).agg(F.min(F.struct("dist", (F.col("m") + t * F.col("l")).alias("offset"))).alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
     point = Window.partitionBy("trip_id", "seq")
-    if centroid_prefilter:
-        c = geo.line_centroid(F.col("geometry"))
-        near = near.withColumn("_r", F.row_number().over(point.orderBy(geo.distance(F.col("x"), F.col("y"), c.x, c.y), "index"))).filter(F.col("_r") <= centroid_prefilter)
-    near = near.select("trip_id", "seq", F.col("index").alias("link"), F.col("n.dist").alias("dist"), F.col("n.offset").alias("offset"))
+    if centroid_prefilter is not None:
+        middle = links.select(F.col("index").alias("link"), geo.line_centroid(F.col("geometry")).alias("c"))
+        far = geo.distance(F.col("x"), F.col("y"), F.col("c.x"), F.col("c.y"))
+        near = near.join(middle, "link").withColumn("_r", F.row_number().over(point.orderBy(far, "link"))).filter(F.col("_r") <= centroid_prefilter)
+    near = near.select("trip_id", "seq", "link", "n.dist", "n.offset")
     return near.withColumn("rank", F.row_number().over(point.orderBy("dist", "link"))).filter(F.col("rank") <= most)
 
 
-def transitions(points: DataFrame, cand: DataFrame, links: DataFrame, costs: DataFrame) -> DataFrame:
-    """(trip_id, seq, next_seq, link_a, link_b, offset_a, offset_b, route, cost): candidates of each point with candidates against those of the next point that has any.
+def layers(points: DataFrame, cand: DataFrame, links: DataFrame) -> DataFrame:
+    """(trip_id, seq, next_seq, first_seq, last_seq, link_a, link_b, offset_a, offset_b, dist, gps, length_a, exit, entry): candidates of each point with candidates against those of the next point that has any.
+
+    gps: the straight distance to the next raw point. first_seq, last_seq: the trip's first and last point with candidates.
+    """
+    w = Window.partitionBy("trip_id").orderBy("seq")
+    all_of = Window.partitionBy("trip_id")
+    p = points.withColumn("gps", geo.distance(F.col("x"), F.col("y"), F.lead("x").over(w), F.lead("y").over(w))).select("trip_id", "seq", "gps")
+    pair = cand.select("trip_id", "seq").distinct().withColumn("next_seq", F.lead("seq").over(w)).withColumn("first_seq", F.min("seq").over(all_of)).withColumn("last_seq", F.max("seq").over(all_of))
+    pair = pair.filter("next_seq is not null").join(p, ["trip_id", "seq"])
+    l = links.select(F.col("index").alias("link"), "a", "b", "length")
+    a = cand.join(l, "link").select("trip_id", "seq", F.col("link").alias("link_a"), F.col("offset").alias("offset_a"), "dist", F.col("length").alias("length_a"), F.col("b").alias("exit"))
+    b = cand.join(l, "link").select("trip_id", F.col("seq").alias("next_seq"), F.col("link").alias("link_b"), F.col("offset").alias("offset_b"), F.col("a").alias("entry"))
+    return a.join(pair, ["trip_id", "seq"]).join(b, ["trip_id", "next_seq"])
+
+
+def transitions(pairs: DataFrame, costs: DataFrame) -> DataFrame:
+    """layers() with route and cost, where there is a route; costs (origin, target, cost) between exits and entries.
 
     cost: half the squared emission distance of the source point over SIGMA, and the difference between the route and
     the straight distance to the next raw point over BETA. Pairs without a route are left out.
     """
-    w = Window.partitionBy("trip_id").orderBy("seq")
-    p = points.withColumn("gps", geo.distance(F.col("x"), F.col("y"), F.lead("x").over(w), F.lead("y").over(w)))
-    layers = cand.select("trip_id", "seq").distinct().withColumn("next_seq", F.lead("seq").over(w)).filter("next_seq is not null")
-    l = links.select(F.col("index").alias("l"), "a", "b", "length")
-    a = cand.join(l, F.col("link") == F.col("l")).select("trip_id", "seq", F.col("link").alias("link_a"), F.col("offset").alias("offset_a"), "dist", F.col("length").alias("length_a"), F.col("b").alias("exit"))
-    b = cand.join(l, F.col("link") == F.col("l")).select("trip_id", F.col("seq").alias("next_seq"), F.col("link").alias("link_b"), F.col("offset").alias("offset_b"), F.col("a").alias("entry"))
-    both = a.join(layers, ["trip_id", "seq"]).join(b, ["trip_id", "next_seq"]).join(p.select("trip_id", "seq", "gps"), ["trip_id", "seq"])
-    both = both.join(costs.select(F.col("origin").alias("exit"), F.col("target").alias("entry"), F.col("cost").alias("between")), ["exit", "entry"], "left")
+    both = pairs.join(costs.select(F.col("origin").alias("exit"), F.col("target").alias("entry"), F.col("cost").alias("between")), ["exit", "entry"], "left")
     route = F.when(F.col("link_a") == F.col("link_b"), F.col("offset_b") - F.col("offset_a")).otherwise(F.col("between") + F.col("length_a") - F.col("offset_a") + F.col("offset_b"))
     both = both.withColumn("route", route).filter("route is not null")
-    cost = 0.5 * F.pow(F.col("dist") / SIGMA, 2) + F.abs(F.col("route") - F.col("gps")) / BETA
-    return both.select("trip_id", "seq", "next_seq", "link_a", "link_b", "offset_a", "offset_b", "route", cost.alias("cost"))
+    far = F.col("dist") / SIGMA
+    cost = 0.5 * (far * far) + F.abs(F.col("route") - F.col("gps")) / BETA
+    return both.select("trip_id", "seq", "next_seq", "first_seq", "last_seq", "link_a", "link_b", "offset_a", "offset_b", "route", cost.alias("cost"))
+
+
+def cheapest_chain(seq: np.ndarray, after: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray, first: int, last: int) -> list[int]:
+    """The steps, by place, of the cheapest chain from layer first to layer last, in order; none if there is no such chain. a, b: links as numbers; of equal costs the smaller number wins."""
+    order = np.lexsort((a, b, seq))
+    bounds = np.flatnonzero(np.diff(seq[order])) + 1
+    links = int(max(a.max(), b.max())) + 1
+    total, here, kept = np.zeros(links), first, []
+    for own in np.split(order, bounds):
+        if seq[own[0]] != here:
+            return []  # no step leaves the layer that was reached
+        sums = total[a[own]] + cost[own]
+        own, sums = own[np.isfinite(sums)], sums[np.isfinite(sums)]
+        if not len(own):
+            return []
+        starts = np.flatnonzero(np.append(True, np.diff(b[own]) != 0))
+        least = np.minimum.reduceat(sums, starts)
+        rows = np.flatnonzero(sums == np.repeat(least, np.diff(np.append(starts, len(own)))))
+        rows = rows[np.append(True, np.diff(b[own[rows]]) != 0)]  # the first of equal ones
+        total = np.full(links, np.inf)
+        total[b[own[rows]]] = sums[rows]
+        by = np.full(links, -1)
+        by[b[own[rows]]] = own[rows]
+        kept.append(by)
+        here = after[own[0]]
+    if here != last:
+        return []
+    link, chain = int(np.argmin(total)), []
+    for by in reversed(kept):
+        chain.append(int(by[link]))
+        link = int(a[chain[-1]])
+    return chain[::-1]
 
 
 def decode(steps: DataFrame) -> DataFrame:
     """(trip_id, seq, next_seq, link_a, link_b, offset_a, offset_b, route): the cheapest chain of steps of each trip, by Viterbi; of equal ones the smaller links.
 
-    A trip's steps are at most the square of the candidates for each of its points; trips without a whole chain give no rows.
+    A chain leads from first_seq to last_seq (without these columns, from the first to the last layer of steps), layer by
+    layer. Trips without a whole chain, because some layer, the first or the last included, can't be reached, give no rows.
+    A trip's steps are at most the square of the candidates for each of its points.
     """
     kinds = dict(steps.dtypes)
+    names = ["trip_id", "seq", "next_seq", "link_a", "link_b", "offset_a", "offset_b", "route"]
+    ends = "first_seq" in steps.columns
 
-    def best(df: pd.DataFrame) -> pd.DataFrame:
-        seq, after, link_a, link_b, step = (df[c].tolist() for c in ("seq", "next_seq", "link_a", "link_b", "cost"))
-        total: dict[tuple[int, object], tuple[float, int]] = {}
-        first, last = min(seq), max(after)
-        for i in sorted(range(len(seq)), key=lambda i: (seq[i], link_a[i], link_b[i])):
-            before = 0.0 if seq[i] == first else total.get((seq[i], link_a[i]), (None,))[0]
-            if before is not None:
-                cost, key = before + step[i], (after[i], link_b[i])
-                if key not in total or cost < total[key][0]:
-                    total[key] = (cost, i)
-        ends = sorted((c, str(k[1]), k) for k, (c, _) in total.items() if k[0] == last)
-        chain, key = [], ends[0][2] if ends else None
-        while key in total:
-            i = total[key][1]
-            chain.append(i)
-            key = (seq[i], link_a[i])
-        return df[names].iloc[chain[::-1]]
+    def best(table: pa.Table) -> pa.Table:
+        seq, after = table["seq"].to_numpy(), table["next_seq"].to_numpy()
+        known = pa.chunked_array([*table["link_a"].chunks, *table["link_b"].chunks]).unique()
+        known = known.take(pc.sort_indices(known))
+        a, b = (pc.index_in(table[c], known).to_numpy() for c in ("link_a", "link_b"))
+        first, last = (table["first_seq"][0].as_py(), table["last_seq"][0].as_py()) if ends else (seq.min(), after.max())
+        return table.select(names).take(pa.array(cheapest_chain(seq, after, a, b, table["cost"].to_numpy(), first, last), pa.int64()))
 
-    names = ["trip_id", "seq", "next_seq", "link_a", "link_b", "offset_a", "offset_b", "route"]
-    return steps.groupBy("trip_id").applyInPandas(best, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return steps.groupBy("trip_id").applyInArrow(best, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def dedup_consecutive(values):
@@ -112,15 +154,20 @@ def routes(steps: DataFrame, costs: DataFrame, links: DataFrame, dedup_boundarie
 def map_match(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, weight: str = "length", dedup_boundaries: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched trips, unmatched trip ids, steps) of tracked points on links (index, a, b, length, geometry).
 
-    Each road node that any trip needs is solved once. Trips of one point, without candidates or without a connected
-    chain are unmatched.
+    Shortest paths are sought only between the ends that some transition needs, each origin once until its targets are
+    reached, and their links listed only for those on decoded chains. Trips of one point, without candidates or without
+    a connected chain are unmatched.
     """
     from ..sources.tables import saved
 
     p = saved(trip_points(points), "trip-points")
     cand = saved(candidates(p, links, radius, most), "candidates")
-    exits = cand.join(links.select(F.col("index").alias("link"), "b"), "link").select(F.col("b").alias("origin")).distinct()
-    costs = saved(road_costs(graph(links, weight), exits), "road-costs")
-    steps = saved(decode(transitions(p, cand, links, costs)), "steps")
-    found = routes(steps, costs, links, dedup_boundaries)
+    pairs = saved(layers(p, cand, links), "layers")
+    edges = graph(links, weight)
+    needed = lambda df: df.filter("link_a <> link_b").select(F.col("exit").alias("origin"), F.col("entry").alias("target")).distinct()
+    costs = saved(road_costs(edges, needed(pairs), paths=False), "road-costs")
+    steps = saved(decode(transitions(pairs, costs)), "steps")
+    l = links.select("index", "a", "b")
+    ends = steps.join(l.select(F.col("index").alias("link_a"), F.col("b").alias("exit")), "link_a").join(l.select(F.col("index").alias("link_b"), F.col("a").alias("entry")), "link_b")
+    found = routes(steps, saved(road_costs(edges, needed(ends)), "road-paths"), links, dedup_boundaries)
     return found, p.select("trip_id").distinct().join(steps.select("trip_id").distinct(), "trip_id", "left_anti"), steps

@@ -84,7 +84,8 @@ def mode_by_rules(rules: Rules) -> Column:
 
 def inference_mode_logic_rules(tracks: DataFrame, rails: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """tracks with mode_computed; null where no time passed between points."""
-    t = tracks.join(rail_overlap(tracks, rails, rules.radius), ["phone_id", "track_no"], "left")
+    bare = tracks.drop(*[f"prop_{r}" for r in RAILS], "mode_computed")  # of an earlier run
+    t = bare.join(rail_overlap(tracks, rails, rules.radius), ["phone_id", "track_no"], "left")
     return t.withColumn("mode_computed", F.when(F.col("time_prec_max") > 0, mode_by_rules(rules)))
 
 
@@ -108,7 +109,7 @@ def speed_bands(tracks: DataFrame) -> DataFrame:
     """tracks with v_moy (m/s) and prop1 to prop7, shares of time by speed band; null where no time passed."""
     from .tracks import running_sums
 
-    t = tracks.withColumn("v_moy", F.try_divide("track_length", "duration")).withColumn("_t", running_sums(F.col("list_time_elapsed")))
+    t = tracks.withColumn("v_moy", F.try_divide("track_length", "duration")).withColumn("_t", F.col("list_time_total") if "list_time_total" in tracks.columns else running_sums(F.col("list_time_elapsed")))
     t = t.withColumns({f"_s{b}": switch_points(F.col("list_v_instant"), F.col("_t"), float(b)) for b in BANDS})
     t = t.withColumns({f"_a{b}": F.when(F.size(f"_s{b}") >= 0, time_above(F.col(f"_s{b}"), F.col("_t"))) for b in BANDS})
     total = F.element_at("_t", -1) - F.get("_t", 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, times
 
 
 def by_time():
@@ -17,8 +17,8 @@ def so_far():
 
 
 def parse_time(text: Column) -> Column:
-    """Epoch seconds of ISO text; a trailing ' UTC...' is cut off, times are UTC."""
-    return F.unix_timestamp(F.to_timestamp(F.regexp_replace(F.regexp_replace(text, " UTC.*", ""), " ", "T")))
+    """Epoch seconds of ISO text, see times.parse_utc()."""
+    return times.parse_utc(text)
 
 
 def project(points: DataFrame) -> DataFrame:
@@ -97,10 +97,10 @@ def number_tracks(points: DataFrame) -> DataFrame:
 
 
 def long_tracks(points: DataFrame, seconds: float = 120, metres: float = 200, method: str = "delete") -> DataFrame:
-    """Points of tracks that took over seconds and spread over metres in x or y."""
+    """Points of tracks that took over seconds and spread over metres in x or y. method: delete and remove mean the same."""
     if method == "stick":
         raise NotImplementedError("method 'stick'")
-    if method != "delete":
+    if method not in ("delete", "remove"):
         raise ValueError(f"unknown method {method!r}")
     w = Window.partitionBy("phone_id", "track_no")
     wide = [(F.max(c).over(w) - F.min(c).over(w)) > metres for c in ("x", "y")]
@@ -115,8 +115,7 @@ def flagged(points: DataFrame, gap: float = 3600, stop_kmh: float = 1, idle: flo
 def tracked(points: DataFrame, gap: float = 3600, stop_kmh: float = 1, idle: float = 200, stop_seconds: float = 600, min_seconds: float = 120, min_metres: float = 200) -> DataFrame:
     """Points with track_no for each phone, time and day; tracks that are too short are gone."""
     p = number_tracks(flagged(points, gap, stop_kmh, idle, stop_seconds).drop("low_speed", "noise", "trip_group", "stop_group"))
-    time = F.timestamp_seconds("ts")
-    return long_tracks(p, min_seconds, min_metres).withColumn("time", time).withColumn("day", F.date_format(time, "y-M-d"))
+    return long_tracks(p, min_seconds, min_metres).withColumn("time", F.timestamp_seconds("ts")).withColumn("day", times.day_name(F.col("ts")))
 
 
 def global_track_ids(points: DataFrame) -> DataFrame:

@@ -59,70 +59,90 @@ def graph(links: DataFrame, weight: str = "length") -> DataFrame:
     return links.groupBy("a", "b").agg(F.min(F.struct(F.col(weight).alias("cost"), F.col("index").alias("link"))).alias("e")).select("a", "b", "e.cost", "e.link")
 
 
-def road_costs(edges: DataFrame, origins: DataFrame, limit: float | None = None, most_edges: int = 50_000_000) -> DataFrame:
-    """(origin, target, cost, path): shortest paths from each of origins (origin), path the links passed; limit bounds the cost.
+def road_costs(edges: DataFrame, wanted: DataFrame, limit: float | None = None, most_bytes: int = 1 << 30, paths: bool = True) -> DataFrame:
+    """(origin, target, cost[, path]): shortest paths from each origin of wanted (origin[, target]) to its targets, without targets to all places reached. path: the links passed; of equally short paths that with the smallest last link, and so on backwards. limit bounds the cost. Places that can't be reached give no rows.
 
-    The network's size is checked: up to most_edges it is sent to the executors as arrays and each origin solved once,
-    whatever the number of trips that need it; a larger one is relaxed by joins, as road_costs_joined().
+    The network's size is checked: where its arrays and names come to at most most_bytes it is sent to the executors, and
+    each origin solved once, until its last target is reached; a larger one is relaxed by joins, as road_costs_joined().
     """
     spark = edges.sparkSession
-    if edges.count() > most_edges:
-        return road_costs_joined(edges, origins, limit)
-    e = edges.select("a", "b", "cost", "link").toPandas().sort_values(["a", "b"], kind="stable")
+    e = edges.select("a", "b", "cost", "link")
+    text = lambda c: F.octet_length(F.col(c).cast("string")) + 60  # a Python string's own size comes on top
+    size = e.agg(F.sum(text("a") + text("b") + text("link") + 24)).first()[0] or 0
+    if size > most_bytes:
+        return road_costs_joined(edges, wanted, limit, paths)
+    e = e.toPandas().sort_values(["a", "b", "link"], kind="stable")
     names = pd.unique(pd.concat([e["a"], e["b"]])) if len(e) else np.array([], dtype=object)
     number = {n: i for i, n in enumerate(names)}
     a = e["a"].map(number).to_numpy(np.int64) if len(e) else np.array([], np.int64)
     order = np.argsort(a, kind="stable")
     start = np.searchsorted(a[order], np.arange(len(names) + 1))
-    shared = spark.sparkContext.broadcast((list(names), start, e["b"].map(number).to_numpy()[order] if len(e) else a, e["cost"].to_numpy(float)[order], e["link"].to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((list(names), start.tolist(), e["b"].map(number).to_numpy()[order].tolist() if len(e) else [], e["cost"].to_numpy(float)[order].tolist(), e["link"].to_numpy()[order].tolist()))
+    aimed = "target" in wanted.columns
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, start, target, cost, link = shared.value
         place = {n: i for i, n in enumerate(names)}
         for f in frames:
-            for o in f["origin"]:
+            rows = []
+            for o, ends in zip(f["origin"], f["targets"] if aimed else [None] * len(f)):
                 if o not in place:
                     continue
-                best, by, done = {place[o]: 0.0}, {}, set()
+                ends = None if ends is None else {place[t] for t in ends if t in place}
+                left = None if ends is None else set(ends)
+                best, by, done = {place[o]: 0.0}, {}, {}
                 heap = [(0.0, place[o])]
-                while heap:
+                while heap and (left is None or left):
                     c, u = heapq.heappop(heap)
                     if u in done:
                         continue
-                    done.add(u)
+                    done[u] = c
+                    if left:
+                        left.discard(u)
                     for k in range(start[u], start[u + 1]):
-                        v, d = int(target[k]), c + cost[k]
-                        if d < best.get(v, np.inf) and (limit is None or d <= limit):
+                        v, d = target[k], c + cost[k]
+                        if v in done or limit is not None and d > limit:
+                            continue
+                        old = best.get(v)
+                        if old is None or d < old:
                             best[v], by[v] = d, (u, link[k])
                             heapq.heappush(heap, (d, v))
-                rows = []
-                for v in done:
+                        elif d == old and link[k] < by[v][1]:
+                            by[v] = (u, link[k])
+                for v in done if ends is None else ends & done.keys():
                     path, u = [], v
-                    while u in by:
+                    while paths and u in by:
                         u, l = by[u]
                         path.append(l)
-                    rows.append((o, names[v], best[v], path[::-1]))
-                yield pd.DataFrame(rows, columns=["origin", "target", "cost", "path"])
+                    rows.append((o, names[v], done[v], path[::-1]) if paths else (o, names[v], done[v]))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     kind = dict(edges.dtypes)
-    return origins.select("origin").distinct().mapInPandas(solve, f"origin {kind['a']}, target {kind['a']}, cost double, path array<{kind['link']}>")
+    columns = ["origin", "target", "cost"] + ["path"] * paths
+    origins = wanted.groupBy("origin").agg(F.collect_set("target").alias("targets")) if aimed else wanted.select("origin").distinct()
+    # without this, a few megabytes of origins are one task's
+    origins = origins.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "origin")
+    return origins.mapInPandas(solve, f"origin {kind['a']}, target {kind['a']}, cost double" + f", path array<{kind['link']}>" * paths)
 
 
-def road_costs_joined(edges: DataFrame, origins: DataFrame, limit: float | None = None) -> DataFrame:
-    """road_costs() for networks of any size: rounds of a join of reached places with edges, keeping the cheapest, until none gets cheaper. Each round is a written table."""
+def road_costs_joined(edges: DataFrame, wanted: DataFrame, limit: float | None = None, paths: bool = True) -> DataFrame:
+    """road_costs() for networks of any size: rounds of a join of the places that got cheaper with edges, keeping the cheapest, until none gets cheaper. Each round is a written table."""
     from ..sources.tables import saved
 
     none = F.array().cast(f"array<{dict(edges.dtypes)['link']}>")
-    best = saved(origins.select("origin").distinct().join(edges.select(F.col("a").alias("origin")).union(edges.select("b")).distinct(), "origin").select("origin", F.col("origin").alias("target"), F.lit(0.0).alias("cost"), none.alias("path")), "costs")
-    while True:
-        step = best.alias("r").join(edges.alias("e"), F.col("r.target") == F.col("e.a")).select("r.origin", F.col("e.b").alias("target"), (F.col("r.cost") + F.col("e.cost")).alias("cost"), F.concat("r.path", F.array("e.link")).alias("path"))
+    # back: the path's links from the last to the first, so that the smallest of equal costs is the one that road_costs() takes
+    best = saved(wanted.select("origin").distinct().join(edges.select(F.col("a").alias("origin")).union(edges.select("b")).distinct(), "origin").select("origin", F.col("origin").alias("target"), F.lit(0.0).alias("cost"), none.alias("back"), F.lit(True).alias("fresh")), "costs")
+    while not best.filter("fresh").isEmpty():
+        step = best.filter("fresh").alias("r").join(edges.alias("e"), F.col("r.target") == F.col("e.a")).select("r.origin", F.col("e.b").alias("target"), (F.col("r.cost") + F.col("e.cost")).alias("cost"), F.concat(F.array("e.link"), "r.back").alias("back"), F.lit(True).alias("fresh"))
         step = step if limit is None else step.filter(F.col("cost") <= limit)
-        new = best.unionByName(step).groupBy("origin", "target").agg(F.min(F.struct("cost", "path")).alias("m")).select("origin", "target", "m.cost", "m.path")
-        new = saved(new, "costs")
-        same = new.agg(F.count("*"), F.sum("cost")).first() == best.agg(F.count("*"), F.sum("cost")).first()
-        best = new
-        if same:
-            return best
+        # of a place's rows the known one comes first among equals, so fresh means that it got cheaper or its path smaller
+        new = best.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("origin", "target").agg(F.min(F.struct("cost", "back", "fresh")).alias("m"))
+        best = saved(new.select("origin", "target", "m.cost", "m.back", "m.fresh"), "costs")
+    out = best.select("origin", "target", "cost", *([F.reverse("back").alias("path")] if paths else []))
+    return out.join(wanted.select("origin", "target").distinct(), ["origin", "target"], "left_semi") if "target" in wanted.columns else out
 
 
 def link_loads(paths: DataFrame, links: DataFrame | None = None, volume: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 
 def phone_stats(phones: DataFrame, points: DataFrame) -> DataFrame:
     """Phones that have points, with counts, accuracy and the mean of all points."""
@@ -38,25 +40,39 @@ def histogram(df: DataFrame, value: Column, lo: float, hi: float, step: float) -
     return own.groupBy((F.lit(lo) + slot * step).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def cdf(df: DataFrame, value: Column, endpoint: bool = False) -> DataFrame:
-    """(v, share, n): for each value the share (i - 1) / n of its first place among the sorted; endpoint: (i - 1) / (n - 1).
-
-    Counted by value first, and running counts are put together from ranges of values, so no window spans all rows.
-    """
+def _running_counts(df: DataFrame, value: Column) -> DataFrame:
+    """(v, n, before, all): each value's number, that of smaller ones, and of all. Counted by value first; running counts are put together from ranges of values, so no window or list spans all rows."""
     from ..sources.tables import saved
 
     own = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    own = saved(own.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "cdf")
+    own = saved(own.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "counts")
     ranges = own.groupBy("range").agg(F.sum("n").alias("m"))
     ranges = ranges.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("start"), F.sum("m").over(Window.partitionBy()).alias("all"))
     local = F.sum("n").over(Window.partitionBy("range").orderBy("v")) - F.col("n")
-    both = own.withColumn("local", local).join(ranges, "range")
-    return both.select("v", F.try_divide(F.col("local") + F.col("start"), F.col("all") - (1 if endpoint else 0)).alias("share"), "n")
+    return own.withColumn("local", local).join(ranges, "range").select("v", "n", (F.col("local") + F.col("start")).alias("before"), "all")
+
+
+def cdf(df: DataFrame, value: Column, endpoint: bool = False) -> DataFrame:
+    """(v, share, n): for each value the share (i - 1) / n of its first place among the sorted; endpoint: (i - 1) / (n - 1)."""
+    return _running_counts(df, value).select("v", F.try_divide("before", F.col("all") - (1 if endpoint else 0)).alias("share"), "n")
 
 
 def markers(df: DataFrame, value: Column) -> DataFrame:
     """Median and mean, to one decimal."""
-    return df.select(value.alias("v")).agg(F.round(F.median("v"), 1).alias("median"), F.round(F.avg("v"), 1).alias("mean"))
+    c = _running_counts(df, value)
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("v")))
+    middle = (at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2
+    return c.agg(F.round(middle, 1).alias("median"), F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 1).alias("mean"))
+
+
+def equal_width(df: DataFrame, value: Column, bins: int) -> DataFrame:
+    """(bin, lo, n): bins of equal width from the smallest to the largest value, the last closed; equal values share bins around them, half a unit to either side. Empty bins are left out. One pass finds the ends, one counts."""
+    own = df.select(value.cast("double").alias("v")).filter("v is not null")
+    ends = own.agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    ends = ends.select(F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
+    slot = F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1)).cast("long")
+    both = own.join(F.broadcast(ends), F.lit(True)).select(slot.alias("bin"), "a", "b")  # one row
+    return both.groupBy("bin", "a", "b").agg(F.count("*").alias("n")).select("bin", (F.col("a") + F.col("bin") * (F.col("b") - F.col("a")) / bins).alias("lo"), "n")
 
 
 def through_origin(df: DataFrame, x: str, y: str, rate: str) -> DataFrame:
@@ -85,3 +101,13 @@ def as_text(df: DataFrame, but: tuple[str, ...] = ("geometry",)) -> DataFrame:
     """All columns as text but those named."""
     plain = lambda c, t: F.to_json(F.col(c)) if t.startswith(("array", "struct", "map")) else F.col(c).cast("string")
     return df.select(*[F.col(c) if c in but else plain(c, t).alias(c) for c, t in df.dtypes])
+
+
+def plottable_lines(lines: DataFrame) -> DataFrame:
+    """Rows whose geometry is a line of two points or more and of some length."""
+    return lines.filter((F.size("geometry") > 1) & (geo.line_length(F.col("geometry")) > 0))
+
+
+def zone_map(zones: DataFrame, flows: DataFrame) -> DataFrame:
+    """zones with the counts of zone_flows(), 0 for those without: the table behind a map of flows."""
+    return zones.join(flows.select("zone_id", F.col("counts").alias("_counts")), "zone_id", "left").withColumn("counts", F.coalesce("_counts", F.lit(0))).drop("_counts")

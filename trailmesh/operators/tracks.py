@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, times
 
 KEY = ["phone_id", "track_no"]
 
@@ -34,8 +36,9 @@ def steps(points: DataFrame) -> DataFrame:
 
 def tracks(points: DataFrame) -> DataFrame:
     """One row for each track: kinematics of the steps between its distinct places."""
-    p = steps(distinct_places(points))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "stop", "x", "y", "v_instant", "time_elapsed")))
+    so_far = Window.partitionBy(*KEY).orderBy("ts", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    p = steps(distinct_places(points)).withColumn("time_total", F.sum("time_elapsed").over(so_far))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "stop", "x", "y", "v_instant", "time_elapsed", "time_total")))
     t = p.groupBy(*KEY).agg(
         F.max("accuracy").cast("double").alias("accuracy_max"), F.avg("accuracy").alias("accuracy_moy"), F.avg("time_elapsed").alias("time_prec_moy"), F.max("time_elapsed").alias("time_prec_max"),
         F.median("v_instant").alias("v_median"), F.percentile("v_instant", F.lit(0.95)).alias("v_95th_percentile"), F.max("dist_from_prec").alias("dist_from_prec_max"), F.avg("dist_from_prec").alias("dist_from_prec_moy"),
@@ -44,8 +47,9 @@ def tracks(points: DataFrame) -> DataFrame:
     )
     line = F.transform("o", lambda s: geo.point(s.x, s.y))
     t = t.withColumn("list_v_instant", F.transform("o", lambda s: s.v_instant)).withColumn("list_time_elapsed", F.transform("o", lambda s: s.time_elapsed))
+    t = t.withColumn("list_time_total", F.transform("o", lambda s: s.time_total))
     t = t.withColumn("departure_point", F.get(line, 0)).withColumn("arrival_point", F.element_at(line, -1)).withColumn("geometry", F.when(F.size(line) > 1, line)).drop("o")
-    t = t.withColumn("day", F.date_format(F.timestamp_seconds("first_ts"), "y-M-d"))
+    t = t.withColumn("day", times.day_name(F.col("first_ts")))
     a, b = F.col("departure_point"), F.col("arrival_point")
     return t.withColumn("dist_departure_arrival", geo.distance(a.x, a.y, b.x, b.y))
 
@@ -69,5 +73,10 @@ def track_stats(points: DataFrame) -> DataFrame:
 
 
 def running_sums(values):
-    """Prefix sums of an array column."""
-    return F.transform(F.sequence(F.lit(1), F.size(values)), lambda i: F.aggregate(F.slice(values, 1, i), F.lit(0.0), lambda a, b: a + b))
+    """Prefix sums of an array column, for frames without list_time_total; array functions would add each from the start again."""
+
+    @F.pandas_udf("array<double>")
+    def sums(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else np.cumsum(np.asarray(v, float)))
+
+    return sums(values)

@@ -61,6 +61,31 @@ class MobilityModel:
         self._need("phones", "points")
         self.phones = stats.phone_stats(self.phones, self.points)
 
+    def analysis_points(self) -> dict[str, DataFrame]:
+        """The tables behind the plots of points: accuracy by system and its histogram and curve."""
+        self._need("points")
+        p = self.points
+        out = {"accuracy": stats.histogram(p, F.col("accuracy"), 0, 2000, 5), "accuracy_share": stats.cdf(p, F.col("accuracy"))}
+        return out | ({"systems": stats.os_stats(p)} if "os" in p.columns else {})
+
+    def analysis_tracks(self) -> dict[str, DataFrame]:
+        """The tables behind the plots of tracks: durations in minutes, lengths in km, mean speeds in km/h, each with its curve and markers, and activity by day."""
+        self._need("tracks")
+        t, out = self.tracks, {}
+        for name, value, bins in (("minutes", F.col("duration") / 60, 30), ("km", F.col("track_length") / 1000, 50), ("kmh", F.when(F.col("v_instant_moy") < 1e9, F.col("v_instant_moy")), 75)):
+            out |= {name: stats.equal_width(t, value, bins), f"{name}_share": stats.cdf(t, value), f"{name}_markers": stats.markers(t, value)}
+        return out | {"days": t.groupBy("day").agg(F.countDistinct("phone_id").alias("n_phones"))}
+
+    def representativity(self, work: bool = False) -> DataFrame:
+        """Slope, r2 and n of population on homes by zone, or of jobs on work places."""
+        self._need("zones")
+        return stats.through_origin(self.zones, "nbr_emploi", "emplois", "repr_rate_work") if work else stats.through_origin(self.zones, "nbr_domicile", "population_totale", "repr_rate_home")
+
+    def flow_map(self, zone_id, outward: bool = True) -> DataFrame:
+        """zones with the counts of tracks from (outward) or to zone_id."""
+        self._need("zones", "volumes")
+        return stats.zone_map(self.zones, zones.zone_flows(self.zones, self.volumes, zone_id, outward))
+
     def set_zoning(self, frame: DataFrame, geographic: bool = False) -> None:
         self.zones = zones.set_zoning(frame, geographic)
 
@@ -97,7 +122,7 @@ class MobilityModel:
     def inference_mode_hybrid(self, classifier=modes.best_score) -> None:
         self._need("tracks", "rail_network")
         own = modes.inference_mode_hybrid(self.tracks, self.rail_network, classifier)
-        self.tracks = self.tracks.join(own, ["phone_id", "track_no"], "left")
+        self.tracks = self.tracks.drop("mode_computed_hybrid").join(own, ["phone_id", "track_no"], "left")
 
     def mapmatching(self, **how) -> None:
         self._need("points", "road_links")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, times
 from ..operators import matching, modes, places, points, roads, stats, tracks, zones
 from ..sources import tables
 from ..streaming import sessions
@@ -120,8 +122,7 @@ def project_lambert93(spark, d):
 
 @query("select event_id as ord, cast(floor(epoch(ts)) as bigint) as ts from events")
 def parse_timestamps(spark, d):
-    text = F.concat(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
-    return tables.points(spark, d).select("ord", points.parse_time(text).alias("ts"))
+    return tables.points(spark, d).select("ord", points.parse_time(times.text(F.col("ts"))).alias("ts"))
 
 
 @query(DELTAS + " select phone_id, ts, new_phone, round(d, 6) as d, round(t, 6) as t, round(s, 6) as s from deltas")
@@ -324,7 +325,47 @@ def repr_regression(spark, d):
     return stats.through_origin(_by_zone(spark, d), "nbr_domicile", "population_totale", "repr_rate_home").select(*_r("slope", "r2"), "n")
 
 
-@query()
+#: Segments of tracks against segments of rails: the share of each within the radius, from two discs and a rectangle; shares of one track segment near rails of a type are merged.
+RAIL_SEGMENTS = """, track_segments as (
+  select phone_id, track_no, row_number() over w as k, lag(x) over w as ax, lag(y) over w as ay, x as bx, y as by_ from steps window w as (partition by phone_id, track_no order by ts, stop)
+), rail_segments(type_tc, qx, qy, rx, ry) as (values ('metro', 0.0::double, 20000.0::double, 60000.0::double, 22000.0::double), ('metro', 60000.0, 22000.0, 120000.0, 30000.0), ('rer', 10000.0, 0.0, 12000.0, 50000.0), ('rer', 12000.0, 50000.0, 20000.0, 99000.0),
+  ('train', 0.0, 60000.0, 150000.0, 61000.0), ('train', 150000.0, 61000.0, 300000.0, 40000.0))"""
+
+
+def _rail_cte(radius: float) -> str:
+    """near_rails(phone_id, track_no, prop_train, prop_rer, prop_metro), after the CTEs of TRACKS."""
+    disc = lambda x, y: f"((ax - {x}) * (bx - ax) + (ay - {y}) * (by_ - ay)) as b_{x}, (ax - {x}) * (ax - {x}) + (ay - {y}) * (ay - {y}) - {radius * radius}::double as c_{x}"
+    root = lambda x, sign: f"case when b_{x} * b_{x} - uu * c_{x} >= 0 and uu > 0 then (-b_{x} {sign} sqrt(b_{x} * b_{x} - uu * c_{x})) / uu end"
+    slab = lambda at, by, lo, hi, pick, far: f"case when {by} = 0 then case when {at} between {lo} and {hi} then {far} end else {pick}(({lo} - {at}) / {by}, ({hi} - {at}) / {by}) end"
+    r = f"{float(radius)}::double"
+    return RAIL_SEGMENTS + f""", met as (
+  select *, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as uu, sqrt((rx - qx) * (rx - qx) + (ry - qy) * (ry - qy)) as l, {disc("qx", "qy")}, {disc("rx", "ry")} from track_segments, rail_segments where ax is not null
+    and greatest(ax, bx) >= least(qx, rx) - {radius} and least(ax, bx) <= greatest(qx, rx) + {radius} and greatest(ay, by_) >= least(qy, ry) - {radius} and least(ay, by_) <= greatest(qy, ry) + {radius}
+), turned as (
+  select *, ((ax - qx) * (rx - qx) + (ay - qy) * (ry - qy)) / l as s0, ((bx - ax) * (rx - qx) + (by_ - ay) * (ry - qy)) / l as s1, ((ax - qx) * (ry - qy) - (ay - qy) * (rx - qx)) / l as p0, ((bx - ax) * (ry - qy) - (by_ - ay) * (rx - qx)) / l as p1 from met
+), parts as (
+  select *, {root("qx", "-")} as d1, {root("qx", "+")} as e1, {root("rx", "-")} as d2, {root("rx", "+")} as e2, {slab("s0", "s1", "0", "l", "least", "-1e18")} as s_lo, {slab("s0", "s1", "0", "l", "greatest", "1e18")} as s_hi,
+    {slab("p0", "p1", "-" + r, r, "least", "-1e18")} as p_lo, {slab("p0", "p1", "-" + r, r, "greatest", "1e18")} as p_hi from turned
+), boxed as (select *, case when s_lo is not null and p_lo is not null and greatest(s_lo, p_lo) <= least(s_hi, p_hi) then greatest(s_lo, p_lo) end as f_lo, case when s_lo is not null and p_lo is not null and greatest(s_lo, p_lo) <= least(s_hi, p_hi) then least(s_hi, p_hi) end as f_hi from parts
+), spans as (select *, greatest(list_min([d1, d2, f_lo]), 0.0) as lo, least(list_max([e1, e2, f_hi]), 1.0) as hi from boxed where coalesce(d1, d2, f_lo) is not null
+), merged as (
+  select phone_id, track_no, type_tc, sqrt(uu) * greatest(hi - greatest(lo, coalesce(max(hi) over (partition by phone_id, track_no, k, type_tc order by lo, hi rows between unbounded preceding and 1 preceding), lo)), 0) as m from spans where lo < hi
+), near_lines as (select phone_id, track_no, sum(m) filter (type_tc = 'train') as train, sum(m) filter (type_tc = 'rer') as rer, sum(m) filter (type_tc = 'metro') as metro from merged group by 1, 2),
+near_rails as (
+  select t.phone_id, t.track_no, coalesce(train / nullif(track_length, 0), 0.0) as prop_train, coalesce(rer / nullif(track_length, 0), 0.0) as prop_rer, coalesce(metro / nullif(track_length, 0), 0.0) as prop_metro from tracks t left join near_lines using (phone_id, track_no)
+)"""
+
+
+def _ruled_cte(rules: modes.Rules) -> str:
+    """ruled(phone_id, track_no, mode_computed), after _rail_cte()."""
+    return f""", ruled as (
+  select phone_id, track_no, case when time_prec_max > 0 then case when prop_train > {rules.p_rail} then 'train' when prop_rer > {rules.p_rail} then 'rer' when prop_metro > {rules.p_metro} then 'metro'
+    when v_instant_max > {rules.v_max_bike} or track_length > {rules.motor_length} or v_instant_moy > {rules.v_moy_bike} then 'motorized' when v_instant_max > {rules.v_max_walk} or v_instant_moy > {rules.v_moy_walk} then 'bike' else 'walk' end end as mode_computed
+  from tracks join near_rails using (phone_id, track_no)
+)"""
+
+
+@query(TRACKS + _rail_cte(RADIUS) + " select phone_id, track_no, round(prop_train, 6) as prop_train, round(prop_rer, 6) as prop_rer, round(prop_metro, 6) as prop_metro from near_rails")
 def rail_overlap(spark, d):
     return modes.rail_overlap(_tracks(spark, d), tables.rails(spark), RADIUS).select("phone_id", "track_no", *_r("prop_train", "prop_rer", "prop_metro"))
 
@@ -336,12 +377,12 @@ def mode_rules_no_rail(spark, d):
     return t.select("phone_id", "track_no", F.when(F.col("time_prec_max") > 0, modes.mode_by_rules(modes.Rules())).alias("mode_computed"))
 
 
-@query()
+@query(TRACKS + _rail_cte(RADIUS) + _ruled_cte(modes.Rules()) + " select phone_id, track_no, mode_computed from ruled")
 def mode_rules(spark, d):
     return modes.inference_mode_logic_rules(_tracks(spark, d), tables.rails(spark), modes.Rules(radius=RADIUS)).select("phone_id", "track_no", "mode_computed")
 
 
-def _bands_sql() -> str:
+def _bands_cte() -> str:
     out = TRACKS + """, cum as (select phone_id, track_no, ts, stop, v_instant as v, sum(time_elapsed) over w as tt, lag(v_instant) over v2 as pv, n from (
     select *, count(*) over (partition by phone_id, track_no) as n from steps) window w as (partition by phone_id, track_no order by ts, stop rows unbounded preceding), v2 as (partition by phone_id, track_no order by ts, stop)),
   cum2 as (select *, lag(tt) over (partition by phone_id, track_no order by ts, stop) as pt from cum),
@@ -352,7 +393,11 @@ def _bands_sql() -> str:
     + max(case when m % 2 = 1 then t_last else 0 end) as a from sw join ends using (phone_id, track_no) group by phone_id, track_no, theta),
   wide as (select e.phone_id, e.track_no, t_last - t_first as total, """
     out += ", ".join(f"coalesce(max(a) filter (theta = {b}), 0) as a{b}" for b in modes.BANDS)
-    out += " from ends e left join above using (phone_id, track_no) group by e.phone_id, e.track_no, t_last, t_first) select phone_id, track_no, "
+    return out + " from ends e left join above using (phone_id, track_no) group by e.phone_id, e.track_no, t_last, t_first)"
+
+
+def _bands_sql() -> str:
+    out = _bands_cte() + " select phone_id, track_no, "
     edges = ["total"] + [f"a{b}" for b in modes.BANDS]
     return out + ", ".join(f"round(case when total <> 0 then ({edges[i]} - {edges[i + 1]}) / total end, 5) as prop{i + 1}" for i in range(6)) + " from wide"
 
@@ -373,11 +418,44 @@ def mode_scores(spark, d):
     return modes.mode_scores(_tracks(spark, d)).select("phone_id", "track_no", *_r(*[f"score_{f}_{m}" for f in modes.SOURCE for m in modes.MODES]))
 
 
-@query()
+def _scores_cte() -> str:
+    """scored(phone_id, track_no, score_<feature>_<mode>, ...), the forty scores unrounded; begins with TRACKS."""
+    edges = ["total"] + [f"a{b}" for b in modes.BANDS]
+    shares = ", ".join(f"case when total <> 0 then ({edges[i]} - {edges[i + 1]}) / total end as prop{i + 1}" for i in range(5))
+    score = lambda x, k: f"case when {x} is null then 0.0::double when {x} >= {k[3]!r}::double then 0.0" + (f" when {x} >= {k[2]!r}::double then 1 - ({x} - {k[2]!r}::double) / {k[3] - k[2]!r}::double" if k[3] > k[2] else "") + f" when {x} >= {k[1]!r}::double then 1.0" + (f" when {x} >= {k[0]!r}::double then ({x} - {k[0]!r}::double) / {k[1] - k[0]!r}::double" if k[1] > k[0] else "") + " else 0.0 end"
+    scores = ", ".join(f"{score(modes.SOURCE.get(f, f), k)} as score_{f}_{m}" for f, knots in modes.KNOTS.items() for m, k in zip(modes.MODES, knots))
+    return _bands_cte() + f", shares as (select phone_id, track_no, {shares} from wide), features as (select t.*, track_length / nullif(duration, 0) as v_moy, prop1, prop2, prop3, prop4, prop5 from tracks t join shares using (phone_id, track_no)), scored as (select phone_id, track_no, {scores} from features)"
+
+
+ALL_SCORES = [f"score_{f}_{m}" for f in modes.KNOTS for m in modes.MODES]
+
+
+@query(_scores_cte() + " select phone_id, track_no, " + ", ".join(f"round({c}, 5) as {c}" for c in ALL_SCORES) + " from scored")
+def mode_scores_all(spark, d):
+    return modes.mode_scores(_tracks(spark, d)).select("phone_id", "track_no", *_r(*ALL_SCORES, to=5))
+
+
+def _hybrid_sql(rules: modes.Rules) -> str:
+    sums = ", ".join("0.0::double + " + " + ".join(f"score_{f}_{m}" for f in modes.KNOTS) + f" as {m}" for m in modes.MODES)
+    best = "case greatest(bike, walk, car, bus) " + " ".join(f"when {m} then '{m}'" for m in modes.MODES) + " end"
+    return _scores_cte() + _rail_cte(rules.radius) + _ruled_cte(rules) + f""", summed as (select phone_id, track_no, {sums} from scored), labelled as (select phone_id, track_no, {best} as label from summed)
+select phone_id, track_no, case when mode_computed = 'train' and track_length > 10000 then 'train' when track_length > 15000 or v_instant_moy > 25 or label in ('car', 'bus') then 'motorized' else label end as mode_computed_hybrid
+from labelled join tracks using (phone_id, track_no) join ruled using (phone_id, track_no)"""
+
+
+@query(_hybrid_sql(modes.HYBRID))
 def mode_hybrid(spark, d):
     return modes.inference_mode_hybrid(_tracks(spark, d), tables.rails(spark))
 
 
+WIDE_HYBRID = replace(modes.HYBRID, radius=RADIUS)
+
+
+@query(_hybrid_sql(WIDE_HYBRID))
+def mode_hybrid_near_rails(spark, d):
+    return modes.inference_mode_hybrid(_tracks(spark, d), tables.rails(spark), rules=WIDE_HYBRID)
+
+
 ROADS = """with n as (select i, j, up, up * 72 + j * 12 + i as id from range(12) a(i), range(6) b(j), range(2) c(up) where (up = 0 and i < 11) or (up = 1 and j < 5)),
 base as (select 'l' || id as index, 'n' || i || '_' || j as a, 'n' || (i + 1 - up) || '_' || (j + up) as b, 10000.0::double as length, case when id % 2 = 0 then '0' else '1' end as oneway, i * 10000.0::double as x0, j * 10000.0::double as y0, (i + 1 - up) * 10000.0::double as x1, (j + up) * 10000.0::double as y1, id from n),
 links as (select index, a, b, length, oneway, x0, y0, x1, y1 from base union all select index || 'p', a, b, 15000.0, oneway, x0, y0, x1, y1 from base where id % 5 = 0),
@@ -414,6 +492,58 @@ def road_distances(spark, d):
     return roads.road_costs(e, e.select(F.col("a").alias("origin"))).select("origin", "target", "cost")
 
 
+#: Shortest paths of any cost by relaxation, each place's last link (of equally short ways the smallest), and the links of each path from last to first.
+PATHS = """, edges as (select a, b, m.c as cost, m.l as link from (select a, b, min({'c': length, 'l': index}) as m from two group by a, b)),
+walk(origin, target, cost) using key (origin, target) as (
+  select distinct a, a, 0.0::double from edges
+  union select w.origin, e.b, min(w.cost + e.cost) from walk w join edges e on w.target = e.a left join recurring.walk r on r.origin = w.origin and r.target = e.b where r.cost is null or w.cost + e.cost < r.cost group by w.origin, e.b
+), last_link as (
+  select w.origin, w.target, min({'l': e.link, 'a': e.a}) as m from walk w join edges e on e.b = w.target join walk u on u.origin = w.origin and u.target = e.a where w.origin <> w.target and u.cost + e.cost = w.cost group by 1, 2
+), back(origin, target, node, k, link) as (
+  select origin, target, m.a, 1, m.l from last_link union all select b.origin, b.target, l.m.a, b.k + 1, l.m.l from back b join last_link l on l.origin = b.origin and l.target = b.node
+)"""
+#: The cheapest chain of candidates of each trip: totals by layer, each from the smallest link of equal ones; then back from the last layer.
+MATCHED = TRACKED.replace("with raw as", "with recursive raw as", 1) + ROADS.replace("with n as", ", n as") + PATHS + """, p as (
+  select phone_id || '_' || track_no as trip_id, row_number() over (partition by phone_id, track_no order by ts, stop) - 1 as seq, x::double as x, y::double as y from tracked
+), hops as (select *, sqrt((lead(x) over w - x) * (lead(x) over w - x) + (lead(y) over w - y) * (lead(y) over w - y)) as gps from p window w as (partition by trip_id order by seq)),
+halves as (
+  select index, x0 as ax, y0 as ay, (x0 + x1) / 2 as bx, (y0 + y1) / 2 as by_, 0.0::double as m from two union all select index, (x0 + x1) / 2, (y0 + y1) / 2, x1, y1, 5000.0::double from two
+), projected as (
+  select trip_id, seq, index as link, x, y, ax, ay, bx, by_, m, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0.0), 1.0) as t from p, halves
+  where x between least(ax, bx) - 5000 and greatest(ax, bx) + 5000 and y between least(ay, by_) - 5000 and greatest(ay, by_) + 5000
+), measured as (
+  select trip_id, seq, link, sqrt((x - (ax + (bx - ax) * t)) * (x - (ax + (bx - ax) * t)) + (y - (ay + (by_ - ay) * t)) * (y - (ay + (by_ - ay) * t))) as dist, m + t * sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) as at_ from projected
+), nearest as (select trip_id, seq, link, min({'d': dist, 'o': at_}) as n from measured where dist < 5000 group by 1, 2, 3),
+cand as (select trip_id, seq, link, n.d as dist, n.o as off, a, b, length from nearest join two on two.index = link qualify row_number() over (partition by trip_id, seq order by n.d, link) <= 10),
+layer as (select trip_id, seq, lead(seq) over w as next_seq, min(seq) over (partition by trip_id) as first_seq, max(seq) over (partition by trip_id) as last_seq from (select distinct trip_id, seq from cand) window w as (partition by trip_id order by seq)),
+routed as (
+  select trip_id, l.seq, next_seq, first_seq, last_seq, f.link as link_a, g.link as link_b, f.off as offset_a, g.off as offset_b, f.b as exit_, g.a as entry, f.dist, h.gps,
+    case when f.link = g.link then g.off - f.off else w.cost + f.length - f.off + g.off end as route
+  from layer l join cand f using (trip_id, seq) join hops h using (trip_id, seq) join cand g on g.trip_id = l.trip_id and g.seq = l.next_seq left join walk w on w.origin = f.b and w.target = g.a
+), step as (select *, 0.5 * ((dist / 4.07::double) * (dist / 4.07::double)) + abs(route - gps) / 3.0::double as cost from routed where route is not null),
+best(trip_id, seq, link, total, before, prev) as (
+  select trip_id, next_seq, link_b, m.c, seq, m.l from (select trip_id, next_seq, link_b, seq, min({'c': cost, 'l': link_a}) as m from step where seq = first_seq group by 1, 2, 3, 4)
+  union all select trip_id, next_seq, link_b, m.c, seq, m.l from (
+    select s.trip_id, s.next_seq, s.link_b, s.seq, min({'c': b.total + s.cost, 'l': s.link_a}) as m from best b join step s on s.trip_id = b.trip_id and s.seq = b.seq and s.link_a = b.link group by 1, 2, 3, 4)
+), goal as (select b.trip_id, b.seq, min({'c': total, 'l': link}) as m from best b join (select distinct trip_id, last_seq from layer) l on l.trip_id = b.trip_id and l.last_seq = b.seq group by 1, 2),
+chain(trip_id, seq, next_seq, link_a, link_b) as (
+  select b.trip_id, b.before, b.seq, b.prev, b.link from goal g join best b on b.trip_id = g.trip_id and b.seq = g.seq and b.link = g.m.l
+  union all select b.trip_id, b.before, b.seq, b.prev, b.link from chain c join best b on b.trip_id = c.trip_id and b.seq = c.seq and b.link = c.link_a
+), matched as (select s.* from chain join step s using (trip_id, seq, next_seq, link_a, link_b))"""
+#: Each matched trip's links one after another: a step's first link, those between, its last; what equals the one before is left out.
+LOADED = MATCHED + """, passed as (
+  select trip_id, seq, 0 as pos, link_a as link from matched union all select trip_id, seq, 1000000 - k, link from matched join back on exit_ = origin and entry = target where link_a <> link_b
+  union all select trip_id, seq, 2000000, link_b from matched where link_a <> link_b
+), kept as (select link from passed qualify lag(link) over (partition by trip_id order by seq, pos) is distinct from link),
+loads as (select index as link, cast(coalesce(n, 0) as bigint) as load from two left join (select link, count(*) as n from kept group by 1) k on k.link = index)"""
+
+
+@query(ROADS.replace("with n as", "with recursive n as") + PATHS + " select w.origin, w.target, cost, coalesce(path, '') as path from walk w left join (select origin, target, string_agg(link, ',' order by k desc) as path from back group by 1, 2) using (origin, target)")
+def road_paths(spark, d):
+    e = roads.graph(roads.two_way(tables.grid_roads(spark)))
+    return roads.road_costs(e, e.select(F.col("a").alias("origin"))).select("origin", "target", "cost", F.concat_ws(",", "path").alias("path"))
+
+
 def _match(spark, d):
     links = roads.two_way(tables.grid_roads(spark))
     return links, matching.map_match(_tracked(spark, d), links, radius=5000)
@@ -428,23 +558,23 @@ def match_candidates(spark, d):
     return c.select("trip_id", F.col("seq").cast("long").alias("seq"), *_r("dist", to=4), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(MATCHED + " select trip_id, seq, next_seq, link_a, link_b, round(offset_a, 3) as offset_a, round(offset_b, 3) as offset_b, round(route, 3) as route from matched")
 def match_path(spark, d):
-    return _match(spark, d)[1][2].select("trip_id", "seq", "next_seq", "link_a", "link_b", *_r("offset_a", "offset_b", "route", to=3))
+    return _match(spark, d)[1][2].select("trip_id", F.col("seq").cast("long").alias("seq"), F.col("next_seq").cast("long").alias("next_seq"), "link_a", "link_b", *_r("offset_a", "offset_b", "route", to=3))
 
 
-@query()
+@query(MATCHED + " select distinct trip_id from p where trip_id not in (select trip_id from matched)")
 def match_unmatched(spark, d):
     return _match(spark, d)[1][1]
 
 
-@query()
+@query(LOADED + " select link, load from loads")
 def link_loads(spark, d):
     links, (found, _, _) = _match(spark, d)
     return roads.link_loads(found, links)
 
 
-@query()
+@query(LOADED + " select link, load, round(load / max(load) over () * 100.0, 6) as width from loads")
 def network_bandwidth(spark, d):
     return zones.bandwidths(link_loads(spark, d), "load", 100.0).select("link", "load", *_r("width"))
 
@@ -477,7 +607,7 @@ def union_by_name(spark, d):
 
 @query(POINTS + " select phone_id, ord, x, y from pts")
 def save_load_roundtrip(spark, d):
-    folder = f"{tables.shared_folder(spark)}/trailmesh-models/{abs(hash(d))}"
+    folder = f"{tables._own(spark)}/model-{uuid.uuid4().hex}"
     tables.save_model({"points": _points(spark, d)}, folder)
     return tables.load_model(spark, folder, ("points",))["points"].select("phone_id", "ord", "x", "y")
 
@@ -487,3 +617,30 @@ s as (select *, sum(fresh) over (partition by phone_id order by ts, ord rows unb
 def gap_sessions(spark, d):
     s = sessions.gap_sessions(tables.points(spark, d).withColumn("time", F.timestamp_seconds("ts")), "86400 seconds")
     return s.select("phone_id", F.unix_timestamp("start").alias("start_ts"), "n", "min_x", "max_x")
+
+
+@query("""with raw as (select event_id as ord, user_id as phone_id, event_id % 60 as accuracy, cast(floor(epoch(ts)) as bigint) as ts, 2 + value / 500 as lon, 48 + cast(regexp_extract(props, '([0-9]+)', 1) as bigint) / 100.0::double as lat from events),
+q as (select *, sin(radians(lat)) as sn, radians(lat) as phi, 0.7256077650532695::double * radians(lon - 3.0) as theta from raw),
+r as (select *, 11754255.426096004::double * exp(-0.7256077650532695::double * ln(tan(pi() / 4 + phi / 2) * power((1 - 0.08181919104281579::double * sn) / (1 + 0.08181919104281579::double * sn), 0.08181919104281579::double / 2))) as rho from q),
+p as (select ord, phone_id, accuracy, ts, cast(trunc(700000 + rho * sin(theta)) as bigint) as x, cast(trunc(12655612.049875986::double - rho * cos(theta)) as bigint) as y from r)
+select ord, phone_id, ts, x, y, accuracy from p where accuracy < 50 and phone_id in (select phone_id from p group by 1 having greatest(max(x) - min(x), max(y) - min(y)) > 50)""")
+def filtering(spark, d):
+    raw = tables.points(spark, d).select("ord", F.col("phone_id").alias("sptId"), "accuracy", "longitude", "latitude", times.text(F.col("ts")).alias("eventDate"))
+    return points.filtering(raw, "sptId").select("ord", "phone_id", "ts", "x", "y", "accuracy")
+
+
+@query(ROADS + """ select 'road_link_' || index || '_' || k as index, 'road_node_' || round(x0 + (x1 - x0) * k / 4, 3) || '_' || round(y0 + (y1 - y0) * k / 4, 3) as a, 'road_node_' || round(x0 + (x1 - x0) * (k + 1) / 4, 3) || '_' || round(y0 + (y1 - y0) * (k + 1) / 4, 3) as b, 2500.0::double as length from links, range(4) r(k)""")
+def split_links_nodes(spark, d):
+    return roads.split_links(tables.grid_roads(spark), 3000).select("index", "a", "b", *_r("length"))
+
+
+EQUAL_WIDTH = {"hist_minutes": ("duration / 60", 30), "hist_km": ("track_length / 1000", 50), "hist_kmh": ("v_instant_moy", 75)}
+
+
+def _equal(name: str, value: str, bins: int) -> None:
+    SQL[name] = TRACKS + f", v as (select cast({value} as double) as v from tracks), e as (select min(v) as a, max(v) as b from v) select cast(least(floor((v - a) / (b - a) * {bins}), {bins - 1}) as bigint) as bin, round(a + least(floor((v - a) / (b - a) * {bins}), {bins - 1}) * (b - a) / {bins}, 4) as lo, count(*) as n from v, e group by 1, 2"
+    QUERIES[name] = lambda spark, d: stats.equal_width(_tracks(spark, d), F.expr(value), bins).select("bin", *_r("lo", to=4), "n")
+
+
+for _name, _h in EQUAL_WIDTH.items():
+    _equal(_name, *_h)

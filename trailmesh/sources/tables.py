@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -9,13 +10,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, times
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir; where it is unset and Spark runs in one process, as in tests, a temporary folder. A cluster without the setting raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trailmesh-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -39,10 +42,21 @@ def sweep(spark: SparkSession) -> None:
 
 
 def save_model(frames: dict[str, DataFrame], folder: str, omitted: tuple[str, ...] = (), only: tuple[str, ...] | None = None, compression: str = "snappy") -> None:
-    """Each frame as Parquet below folder, replacing what was there."""
+    """Each frame as Parquet below folder, in place of all that was there. New frames are written beside it first, so they may be read from the old ones."""
+    if not frames:
+        return
+    spark = next((df for df in frames.values() if df is not None), None)
+    spark = spark.sparkSession if spark is not None else SparkSession.getActiveSession()
+    old, new = folder.rstrip("/"), f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = paths(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(paths(new))
     for name, df in frames.items():
         if df is not None and name not in omitted and (only is None or name in only):
-            df.write.mode("overwrite").option("compression", compression).parquet(f"{folder.rstrip('/')}/{name}")
+            df.write.option("compression", compression).parquet(f"{new}/{name}")
+    files.delete(paths(old), True)
+    if not files.rename(paths(new), paths(old)):
+        raise OSError(f"{new} can't be renamed to {old}")
 
 
 def load_model(spark: SparkSession, folder: str, names: tuple[str, ...], omitted: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
@@ -70,7 +84,7 @@ def points(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     x, y = (F.floor(F.col("value") * 10), k * 10) if dense else (F.floor(F.col("value") * 1000), k * 1000)
     return e.select(
-        F.col("user_id").alias("phone_id"), F.col("event_id").alias("ord"), F.unix_timestamp("ts").alias("ts"), x.cast("long").alias("x"), y.cast("long").alias("y"), (F.col("event_id") % 60).alias("accuracy"),
+        F.col("user_id").alias("phone_id"), F.col("event_id").alias("ord"), times.of_local(F.col("ts")).alias("ts"), x.cast("long").alias("x"), y.cast("long").alias("y"), (F.col("event_id") % 60).alias("accuracy"),
         F.col("event_type").alias("os"), (2 + F.col("value") / 500).alias("longitude"), (48 + k / 100.0).alias("latitude"),
     )
 
