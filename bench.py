@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from trailmesh.plans.queries import QUERIES
 
-NAMES = ["clean_points", "tracked_points", "track_kinematics", "od_matrix", "home_places", "mode_rules_no_rail", "mode_rules", "speed_band_shares", "match_candidates"]
+NAMES = ["clean_points", "tracked_points", "track_kinematics", "od_matrix", "home_places", "mode_rules_no_rail", "mode_rules", "speed_band_shares", "match_candidates", "match_path"]
 
 
 def main() -> None:
