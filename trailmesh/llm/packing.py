@@ -3,71 +3,81 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_bounds, saved
 
-class ByteBpe:
+#: Where the vocabulary splits a text, for characters that re and the library take for the same kind.
+SPLITS = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+").findall
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: itself where it is printable Latin-1, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class ByteBpe(dict):
     """The ids that tokenizers gives for a byte-level vocabulary (a .json of it), special strings in a text taken as special.
 
-    Merges never cross the vocabulary's splits of a text, so each split's ids are asked of the library once and kept.
-    Splits are found by regex; a text with a character that the library's own splitter takes for another kind (as
-    versions of Unicode differ) is encoded whole by the library.
+    Merges never cross the vocabulary's splits of a text, so the library's model is asked once for each split and its
+    ids are kept, as little-endian unsigned 32-bit numbers: about the `most` last met, and as many before them. Splits are found by SPLITS; a
+    text with a character that the library's own splitter takes for another kind is encoded whole by the library.
     """
 
-    def __init__(self, file: str, pattern: str, most: int = 200_000, longest: int = 64) -> None:
-        import regex
+    def __init__(self, file: str, most: int = 200_000, longest: int = 64) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(file)
-        self.split, self.most, self.longest = regex.compile(pattern).findall, most, longest
+        self.model, self.letters, self.most, self.longest = self.library.model, byte_letters(), most, longest
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {k: i.to_bytes(4, "little") for k, i in special.items()}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda text: [text]
-        self.known: dict[str, bytes] = {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else lambda text: [text]
         self.same: dict[str, bool] = {}
+        self.before: dict[str, bytes] = {}
 
-    def asked(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, split: str) -> bytes:
+        ids = self.before.get(split)
+        if ids is None:
+            tokens = self.model.tokenize(split.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in tokens]).tobytes()
+        if len(split) <= self.longest:
+            self[split] = ids
+        return ids
 
     def splits_alike(self, char: str) -> bool:
         text = f"a{char}b 1{char}2 .{char}. "
-        return self.split(text) == [text[lo:hi] for _, (lo, hi) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return SPLITS(text) == [text[lo:hi] for _, (lo, hi) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of text."""
-        if not text.isascii():
-            chars = set(text)
-            for c in chars:
-                if c not in self.same:
-                    self.same[c] = self.splits_alike(c)
-            if not all(map(self.same.__getitem__, chars)):
-                return self.asked([text])[0]
-        out = []
-        for part in self.cut(text):
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            words = self.split(part)
-            fresh = {w for w in words if w not in self.known}
-            long = {w for w in fresh if len(w) > self.longest}
-            if len(self.known) + len(fresh) > self.most:
-                self.known.clear()
-                fresh = set(words)
-            fresh = list(fresh)
-            self.known.update(zip(fresh, self.asked(fresh)))
-            out += map(self.known.__getitem__, words)
-            for w in long:
-                del self.known[w]
-        return b"".join(out)
+        chars = set(text)
+        for c in chars:
+            if c not in self.same:
+                self.same[c] = self.splits_alike(c)
+        if not all(map(self.same.__getitem__, chars)):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+        return b"".join(self.special[part] if part in self.special else b"".join(map(self.__getitem__, SPLITS(part))) for part in self.cut(text))
+
+
+@cache
+def shared_bpe(file: str) -> ByteBpe:
+    """One for each Python worker, whose tasks come one after another."""
+    return ByteBpe(file)
 
 
 def cut(n: int, most: int) -> Iterator[tuple[int, int]]:
@@ -91,7 +101,7 @@ def token_pieces(docs: DataFrame, max_tokens: int = 1024, end_id: int = 2, keep_
         import public_tokenizers
         from pyspark import TaskContext
 
-        bpe = ByteBpe(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+        bpe = shared_bpe(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
         task, seen, end = TaskContext.get().partitionId(), [0] * (max_tokens + 1), end_id.to_bytes(4, "little")
         for b in batches:
             index, rows = [], []
