@@ -252,6 +252,7 @@ def test_dbscan_against_a_loop():
                             todo.append(m)
                 k += 1
         assert places.dbscan(x, y, 100.0, least).tolist() == label.tolist(), n
+        assert places.dbscan(x, y, 100.0, least, dense=0).tolist() == label.tolist(), n
 
 
 def test_dbscan_of_a_phone_at_rest():

@@ -17,15 +17,29 @@ WORK_HOURS = tuple(range(9, 20))
 DAYS_OFF = (19, 20, 26, 27)
 
 
-def dbscan(x: np.ndarray, y: np.ndarray, eps: float = 100.0, min_samples: int = 2) -> np.ndarray:
+def _dbscan_dense(x: np.ndarray, y: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """dbscan() of few points, by the whole matrix of neighbours."""
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= eps * eps
+    core, label, number = near.sum(1) >= min_samples, np.full(len(x), -1), 0
+    while len(left := np.flatnonzero(core & (label < 0))):
+        front = np.zeros(len(x), bool)
+        front[left[0]] = True
+        while front.any():
+            label[front] = number
+            front = near[front & core].any(0) & (label < 0)
+        number += 1
+    return label
+
+
+def dbscan(x: np.ndarray, y: np.ndarray, eps: float = 100.0, min_samples: int = 2, dense: int = 256) -> np.ndarray:
     """Cluster numbers by first core point, -1 for noise; a border point belongs to the first cluster that reaches it.
 
     Equal places are one, with a weight. Places are put in cells so small that all of a cell are neighbours; cells are
     linked where any two of their core places are, so no list of neighbours is held: memory grows with the number of
-    distinct places, and comparisons are made in bounded pieces.
+    distinct places, and comparisons are made in bounded pieces. At most `dense` points are compared at once instead, with the same result.
     """
-    if not len(x):
-        return np.empty(0, np.int64)
+    if len(x) <= dense:
+        return _dbscan_dense(x, y, eps, min_samples)
     spots, first, own, weight = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
     own = own.ravel()
     cell = np.floor(spots / (eps / np.sqrt(2)) * (1 - 1e-12)).astype(np.int64)
