@@ -45,13 +45,15 @@ class ByteBpe(dict):
         self.special = {k: i.to_bytes(4, "little") for k, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else lambda text: [text]
         self.same: dict[str, bool] = {}
+        self.numbers = [i.to_bytes(4, "little") for i in range(max(self.library.get_vocab().values(), default=-1) + 1)]
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, split: str) -> bytes:
         ids = self.before.get(split)
         if ids is None:
-            tokens = self.model.tokenize(split.encode().decode("latin-1").translate(self.letters))
-            ids = array("I", [t.id for t in tokens]).tobytes()
+            plain = split.isascii() and split.isprintable()  # of these characters only the space is written as another
+            written = split.replace(" ", self.letters[32]) if plain else split.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.numbers[t.id] for t in self.model.tokenize(written)])
         if len(split) <= self.longest:
             self[split] = ids
         return ids
