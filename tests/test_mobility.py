@@ -390,3 +390,8 @@ def test_against_duckdb(spark, name):
     assert cols == sorted(b.columns)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b))
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
+def test_mode_hybrid_reads_the_points_once(spark):
+    plan = Q.QUERIES["mode_hybrid"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id") == 2  # the points, and which phones are active; 6 when rails were joined

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, overlap
 
 RAILS = ("train", "rer", "metro")
 MODES = ("bike", "walk", "car", "bus")
@@ -46,8 +48,39 @@ class Rules:
 HYBRID = Rules(200, 0.6, 0.7, 40, 30, 15, 7, 20_000)
 
 
-def rail_overlap(tracks: DataFrame, rails: DataFrame, radius: float = 200, cell: float | None = None) -> DataFrame:
-    """(phone_id, track_no, prop_train, prop_rer, prop_metro): the share of each track's length within radius of rails of a type.
+def with_rail_shares(tracks: DataFrame, rails: DataFrame, radius: float = 200, most_bytes: int = 64 << 20) -> DataFrame:
+    """tracks with prop_train, prop_rer, prop_metro: the share of each track's length within radius of rails of a type.
+
+    The rails' size is checked: where their segments come to at most most_bytes they are sent to the executors, and each
+    track is measured where it lies, without shuffle and whatever share of tracks is near one rail; more rails are met
+    by a join, as rail_overlap_joined().
+    """
+    props = [f"prop_{r}" for r in RAILS]
+    tracks = tracks.drop(*props)
+    rails = rails.filter(F.col("type_TC").isin(*RAILS))
+    bytes_each = 400  # of a segment in the grid: coordinates, boxes, cells, lists
+    if (rails.agg(F.sum(F.greatest(F.size("geometry") - 1, F.lit(0)))).first()[0] or 0) * bytes_each > most_bytes:
+        return tracks.join(rail_overlap_joined(tracks, rails, radius), ["phone_id", "track_no"], "left")
+    rows = rails.select("type_TC", F.explode(geo.segments(F.col("geometry"))).alias("s")).select("type_TC", "s.*").toPandas()
+    segments = rows[["ax", "ay", "bx", "by"]].to_numpy(float).T
+    kinds = rows["type_TC"].map({r: i for i, r in enumerate(RAILS)}).to_numpy(np.int64)
+    shared = tracks.sparkSession.sparkContext.broadcast(overlap.Grid(segments, kinds, len(RAILS), float(radius)))
+
+    @F.arrow_udf(", ".join(f"{p} double" for p in props))
+    def shares(lines: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(v) for v in shared.value.shares(lines)], props)
+
+    t = tracks.withColumn("_near", shares(F.col("geometry")))
+    return t.withColumns({p: F.col(f"_near.{p}") for p in props}).drop("_near")
+
+
+def rail_overlap(tracks: DataFrame, rails: DataFrame, radius: float = 200, most_bytes: int = 64 << 20) -> DataFrame:
+    """(phone_id, track_no, prop_train, prop_rer, prop_metro), see with_rail_shares()."""
+    return with_rail_shares(tracks, rails, radius, most_bytes).select("phone_id", "track_no", *[f"prop_{r}" for r in RAILS])
+
+
+def rail_overlap_joined(tracks: DataFrame, rails: DataFrame, radius: float = 200, cell: float | None = None) -> DataFrame:
+    """rail_overlap() for rails of any size.
 
     Segments meet over grid cells; each pair counts in the first cell that both boxes touch. For each pair the near
     part is one interval in closed form; intervals of a segment are merged by a running maximum.
@@ -84,19 +117,26 @@ def mode_by_rules(rules: Rules) -> Column:
 
 def inference_mode_logic_rules(tracks: DataFrame, rails: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """tracks with mode_computed; null where no time passed between points."""
-    bare = tracks.drop(*[f"prop_{r}" for r in RAILS], "mode_computed")  # of an earlier run
-    t = bare.join(rail_overlap(tracks, rails, rules.radius), ["phone_id", "track_no"], "left")
+    t = with_rail_shares(tracks.drop("mode_computed"), rails, rules.radius)  # without that of an earlier run
     return t.withColumn("mode_computed", F.when(F.col("time_prec_max") > 0, mode_by_rules(rules)))
 
 
-def switch_points(v: Column, t: Column, theta: float) -> Column:
-    """Times at which speed passes theta, by linear interpolation between samples on either side of it."""
+def speed_steps(v: Column, t: Column) -> Column:
+    """array<struct<a, b>> of samples (v, t) and their next ones."""
     z = F.arrays_zip(v.alias("v"), t.alias("t"))
-    pairs = F.zip_with(F.slice(z, 1, F.greatest(F.size(z) - 1, F.lit(0))), F.slice(z, 2, F.greatest(F.size(z) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    passed = F.filter(pairs, lambda p: (p.a.v - theta) * (p.b.v - theta) < 0)
+    return F.zip_with(F.slice(z, 1, F.greatest(F.size(z) - 1, F.lit(0))), F.slice(z, 2, F.greatest(F.size(z) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def switches_of(steps: Column, theta: float) -> Column:
+    passed = F.filter(steps, lambda p: (p.a.v - theta) * (p.b.v - theta) < 0)
     return F.transform(passed, lambda p: (p.b.t - p.a.t) / (p.b.v - p.a.v) * (theta - p.a.v) + p.a.t)
 
 
+def switch_points(v: Column, t: Column, theta: float) -> Column:
+    """Times at which speed passes theta, by linear interpolation between samples on either side of it."""
+    return switches_of(speed_steps(v, t), theta)
+
+
 def time_above(switches: Column, t: Column) -> Column:
     """An even number of switches: the sum of every other gap. An odd one: the gaps without the last complete one, and from the last switch to the end; one switch: only the latter."""
     n = F.size(switches)
@@ -110,12 +150,13 @@ def speed_bands(tracks: DataFrame) -> DataFrame:
     from .tracks import running_sums
 
     t = tracks.withColumn("v_moy", F.try_divide("track_length", "duration")).withColumn("_t", F.col("list_time_total") if "list_time_total" in tracks.columns else running_sums(F.col("list_time_elapsed")))
-    t = t.withColumns({f"_s{b}": switch_points(F.col("list_v_instant"), F.col("_t"), float(b)) for b in BANDS})
+    t = t.withColumn("_steps", speed_steps(F.col("list_v_instant"), F.col("_t")))
+    t = t.withColumns({f"_s{b}": switches_of(F.col("_steps"), float(b)) for b in BANDS})
     t = t.withColumns({f"_a{b}": F.when(F.size(f"_s{b}") >= 0, time_above(F.col(f"_s{b}"), F.col("_t"))) for b in BANDS})
     total = F.element_at("_t", -1) - F.get("_t", 0)
     above = [total] + [F.col(f"_a{b}") for b in BANDS] + [F.lit(0.0)]
     t = t.withColumns({f"prop{i + 1}": F.try_divide(above[i] - above[i + 1], total) for i in range(len(BANDS) + 1)})
-    return t.drop("_t", *[f"_{k}{b}" for b in BANDS for k in "sa"])
+    return t.drop("_t", "_steps", *[f"_{k}{b}" for b in BANDS for k in "sa"])
 
 
 def trapezoid(x: Column, knots: tuple[float, float, float, float], far: float) -> Column:
@@ -136,19 +177,24 @@ def mode_scores(tracks: DataFrame) -> DataFrame:
 
 def best_score(scored: DataFrame) -> Column:
     """Stands in for a trained classifier: the mode with the largest sum of scores, the first of equal ones."""
-    sums = [sum((F.col(f"score_{f}_{m}") for f in KNOTS), F.lit(0.0)) for m in MODES]
-    top = F.greatest(*sums)
-    out = F.when(sums[0] == top, MODES[0])
-    for s, m in zip(sums[1:], MODES[1:]):
-        out = out.when(s == top, m)
-    return out
+    sums = F.struct(*[sum((F.col(f"score_{f}_{m}") for f in KNOTS), F.lit(0.0)).alias(m) for m in MODES])
+
+    def first(s: Column) -> Column:
+        top = F.greatest(*[s[m] for m in MODES])
+        out = F.when(s[MODES[0]] == top, MODES[0])
+        for m in MODES[1:]:
+            out = out.when(s[m] == top, m)
+        return out
+
+    return geo.let(sums, first)  # each sum once, not in each comparison: the plan stays small
 
 
 def inference_mode_hybrid(tracks: DataFrame, rails: DataFrame, classifier=best_score, rules: Rules = HYBRID) -> DataFrame:
     """(phone_id, track_no, mode_computed_hybrid): classifier's label (a function of the scored frame giving a column: an expression, a pandas_udf or a fitted model's), then long or fast tracks and cars and buses are motorized, then long tracks on rails are trains."""
     ruled = inference_mode_logic_rules(tracks, rails, rules)
     scored = mode_scores(ruled)
-    label = classifier(scored)
+    scored = scored.withColumn("_label", classifier(scored))
+    label = F.col("_label")
     out = F.when((F.col("track_length") > 15_000) | (F.col("v_instant_moy") > 25) | label.isin("car", "bus"), "motorized").otherwise(label)
     out = F.when((F.col("mode_computed") == "train") & (F.col("track_length") > 10_000), "train").otherwise(out)
     return scored.select("phone_id", "track_no", out.alias("mode_computed_hybrid"))
