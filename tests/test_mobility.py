@@ -1,6 +1,7 @@
 """Hand-computed cases, and each SQL query against DuckDB at the smallest scale."""
 
 import os
+import tempfile
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ from trailmesh.functions import geo, times
 from trailmesh.operators import matching, modes, places, points, roads, stats, tracks
 from trailmesh.plans import queries as Q
 from trailmesh.sources import tables
+from trailmesh.streaming import sessions
 
 DATA = "/root/testdata/sf0.001"
 
@@ -395,3 +397,18 @@ def test_against_duckdb(spark, name):
 def test_mode_hybrid_reads_the_points_once(spark):
     plan = Q.QUERIES["mode_hybrid"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [event_id") == 2  # the points, and which phones are active; 6 when rails were joined
+
+
+def test_a_step_of_just_the_gap_begins_a_session(spark):
+    start = "2024-01-01 00:00:00"
+    for step, want in (("3600", [1, 1]), ("3599.999999", [2]), ("3600.000001", [1, 1])):
+        df = spark.range(2).select(F.lit(1).alias("phone_id"), F.col("id").alias("x"), F.col("id").alias("y"), F.expr(f"timestamp'{start}' + id * interval '{step}' second").alias("time"))
+        got = sessions.gap_sessions(df, "1 hour").orderBy("start").collect()
+        assert [r.n for r in got] == want, step
+        assert (got[0].end - got[0].start).total_seconds() == 3600 + (float(step) if want == [2] else 0)
+    data = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    spark.sql("select id as event_id, timestamp_ntz'2024-01-01 00:00:00' + id * interval 1 day as ts, 1L as user_id, 'view' as event_type, 1.0D as value, '{\"k\": 1}' as props from range(3)").write.parquet(f"{data}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{data}/events.parquet/*.parquet'")
+    rows = sorted(tuple(r) for r in Q.QUERIES["gap_sessions"](spark, data).collect())
+    assert rows == sorted(con.execute(Q.SQL["gap_sessions"]).fetchall()) and len(rows) == 3
