@@ -6,10 +6,11 @@ import tempfile
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmesh.functions import geo, times
+from trailmesh.functions import chains, geo, times
 from trailmesh.operators import matching, modes, places, points, roads, stats, tracks
 from trailmesh.plans import queries as Q
 from trailmesh.sources import tables
@@ -412,3 +413,46 @@ def test_a_step_of_just_the_gap_begins_a_session(spark):
     con.execute(f"create view events as select * from '{data}/events.parquet/*.parquet'")
     rows = sorted(tuple(r) for r in Q.QUERIES["gap_sessions"](spark, data).collect())
     assert rows == sorted(con.execute(Q.SQL["gap_sessions"]).fetchall()) and len(rows) == 3
+
+
+def _random_trips_and_links(spark, seed):
+    """Trips of points on and beside a net of one-way links in pieces, some ends of which lead nowhere."""
+    rng = np.random.default_rng(seed)
+    n = 5
+    place = {i: rng.uniform(0, 400, 2) for i in range(n * n)}
+    rows = []
+    for k in range(60):
+        a, b = (int(v) for v in rng.choice(n * n, 2, replace=False))
+        g = [place[a], rng.uniform(0, 400, 2), place[b]] if k % 2 else [place[a], place[b]]
+        rows.append((f"l{k * 7 % 60}", f"n{a}", f"n{b}", float(rng.integers(1, 5) * 50), [{"x": float(p[0]), "y": float(p[1])} for p in g]))
+    links = spark.createDataFrame(rows, "index string, a string, b string, length double, geometry array<struct<x:double,y:double>>")
+    pts = [(p, t % 3, t, False, int(x), int(y)) for p in range(25) for t, (x, y) in enumerate(rng.uniform(-50, 450, (int(rng.integers(1, 14)), 2)))]
+    return spark.createDataFrame(pts, "phone_id long, track_no long, ts long, stop boolean, x long, y long"), links
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_matching_equals_the_joins(spark, seed):
+    p, links = _random_trips_and_links(spark, seed)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    names = ["trip_id", "seq", "next_seq", "link_a", "link_b", "offset_a", "offset_b", "route"]
+    for how in ({}, {"most": 2}):
+        assert matching.network(links, 60, 10, "length", 1 << 28, 2000)
+        got, want = matching.match_steps(p, links, 60, **how), matching.match_steps_joined(p, links, 60, **how)
+        assert rows(got[1]) == rows(want[1]) and rows(got[1])
+        a, b = rows(got[0].select(names)), rows(want[0].select(names))
+        assert len(a) > 10 and [r[:5] for r in a] == [r[:5] for r in b]
+        assert np.allclose([r[5:] for r in a], [r[5:] for r in b], rtol=1e-12)
+
+
+def test_networks_beyond_the_bounds_are_joined(spark):
+    p, links = _random_trips_and_links(spark, 1)
+    assert matching.network(links, 60, 10, "length", 1 << 28, 3) is None and matching.network(links, 60, 10, "length", 1000, 2000) is None
+    assert sorted(matching.match_steps(p, links, 60, most_places=3)[1].collect()) == sorted(matching.match_steps(p, links, 60)[1].collect())
+
+
+def test_whole_trips_over_batches():
+    t = pa.table({"trip_id": ["a", "a", "b", "b", "b", "b", "b", "c", "d", "d"], "seq": list(range(10))})
+    for size in range(1, 11):
+        parts = [x["trip_id"].to_pylist() for x in chains.whole_trips(iter(t.to_batches(max_chunksize=size)))]
+        assert sum(parts, []) == t["trip_id"].to_pylist()
+        assert all(x[-1] != y[0] for x, y in zip(parts, parts[1:]))

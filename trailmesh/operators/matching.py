@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import chains, geo
 from .roads import graph, road_costs
 
 SIGMA, BETA = 4.07, 3.0
@@ -137,8 +138,8 @@ def dedup_consecutive(values):
     return F.filter(values, lambda v, i: (i == F.size(values) - 1) | ~v.eqNullSafe(F.get(values, i + 1)))
 
 
-def routes(steps: DataFrame, costs: DataFrame, links: DataFrame, dedup_boundaries: bool = True) -> DataFrame:
-    """(trip_id, path, geometry): links passed by each trip. dedup_boundaries takes the link that two steps share once; without, each step's links are cleaned by itself."""
+def routes(steps: DataFrame, costs: DataFrame, links: DataFrame, dedup_boundaries: bool = True, lines: bool = True) -> DataFrame:
+    """(trip_id, path[, geometry]): links passed by each trip. dedup_boundaries takes the link that two steps share once; without, each step's links are cleaned by itself."""
     l = links.select(F.col("index").alias("l"), "a", "b")
     s = steps.join(l.select(F.col("l").alias("link_a"), F.col("b").alias("exit")), "link_a").join(l.select(F.col("l").alias("link_b"), F.col("a").alias("entry")), "link_b")
     s = s.join(costs.select(F.col("origin").alias("exit"), F.col("target").alias("entry"), F.col("path").alias("between")), ["exit", "entry"], "left")
@@ -146,28 +147,86 @@ def routes(steps: DataFrame, costs: DataFrame, links: DataFrame, dedup_boundarie
     t = s.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("seq", own.alias("own")))).alias("o"))
     path = F.flatten(F.transform("o", lambda x: x.own))
     t = t.withColumn("path", path).withColumn("path", dedup_consecutive(F.col("path")) if dedup_boundaries else F.col("path")).drop("o")
+    if not lines:
+        return t
     lines = t.select("trip_id", F.posexplode("path").alias("k", "index")).join(links.select("index", F.col("geometry").alias("g")), "index")
     lines = lines.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("gs")).select("trip_id", geo.merge_lines(F.transform("gs", lambda x: x.g)).alias("geometry"))
     return t.join(lines, "trip_id", "left")
 
 
-def map_match(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, weight: str = "length", dedup_boundaries: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matched trips, unmatched trip ids, steps) of tracked points on links (index, a, b, length, geometry).
-
-    Shortest paths are sought only between the ends that some transition needs, each origin once until its targets are
-    reached, and their links listed only for those on decoded chains. Trips of one point, without candidates or without
-    a connected chain are unmatched.
+def network(links: DataFrame, radius: float, most: int, weight: str, most_bytes: int, most_places: int) -> chains.Network | None:
+    """links for chains.Network, where they, listed by cells of radius, come to at most most_bytes, have at most most_places ends and an index of their own; None otherwise."""
+    each = 600  # bytes of a link, and at most of a segment, besides its cells
+    sizes = links.agg(F.count("*").alias("n"), F.count_distinct("index").alias("own"), F.sum(F.greatest(F.size("geometry"), F.lit(0))).alias("s")).first()
+    if sizes.n != sizes.own or (sizes.n + (sizes.s or 0)) * each > most_bytes:
+        return None
+    l = links.select("index", "a", "b", "length").toPandas()
+    if l.isnull().any().any():
+        return None
+    l = l.sort_values("index", kind="stable", ignore_index=True)
+    names = {n: i for i, n in enumerate(pd.unique(pd.concat([l["a"], l["b"]])))}
+    if len(names) > most_places:
+        return None
+    g = links.select("index", F.posexplode(geo.segments(F.col("geometry"))).alias("k", "s")).select("index", "k", "s.*").toPandas()
+    g["of"] = g["index"].map({n: i for i, n in enumerate(l["index"])})
+    g = g.sort_values(["of", "k"], kind="stable")
+    segments = g[["ax", "ay", "bx", "by"]].to_numpy(float).T
+    c = chains.Network.boxes(segments, radius)
+    if not np.isfinite(segments).all() or ((c[2] - c[0] + 1.0) * (c[3] - c[1] + 1)).sum() * 40 > most_bytes:
+        return None
+    e = graph(links, weight).toPandas()
+    number = lambda v: v.map(names).to_numpy(np.int64)
+    return chains.Network(l["index"].tolist(), number(l["a"]), number(l["b"]), l["length"].to_numpy(float), segments, g["of"].to_numpy(np.int64), (number(e["a"]), number(e["b"]), e["cost"].to_numpy(float)), len(names), float(radius), most)
+
+
+def match_steps(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, weight: str = "length", most_bytes: int = 256 << 20, most_places: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(steps, unmatched trip ids) of tracked points on links, see map_match().
+
+    A network() within the bounds is sent to the executors, and each trip decoded where its points were numbered, without
+    a table of candidates or transitions; a larger one is met by joins, as match_steps_joined().
     """
     from ..sources.tables import saved
 
+    own = network(links, radius, most, weight, most_bytes, most_places)
+    if own is None:
+        return match_steps_joined(points, links, radius, most, weight)
+    shared = points.sparkSession.sparkContext.broadcast(own)
+
+    def solve(batches):
+        for trips in chains.whole_trips(batches):
+            yield from shared.value.match(trips, SIGMA, BETA).to_batches()
+
+    index = dict(links.dtypes)["index"]
+    # the window that numbers a trip's points leaves them whole in a partition and one after another
+    out = trip_points(points).mapInArrow(solve, f"trip_id string, seq int, next_seq int, link_a {index}, link_b {index}, offset_a double, offset_b double, route double")
+    out = saved(out, "steps")
+    return out.filter("seq is not null"), out.filter("seq is null").select("trip_id")
+
+
+def match_steps_joined(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, weight: str = "length") -> tuple[DataFrame, DataFrame]:
+    """match_steps() for networks of any size. Shortest paths are sought only between the ends that some transition needs, each origin once until its targets are reached."""
+    from ..sources.tables import saved
+
     p = saved(trip_points(points), "trip-points")
     cand = saved(candidates(p, links, radius, most), "candidates")
     pairs = saved(layers(p, cand, links), "layers")
-    edges = graph(links, weight)
-    needed = lambda df: df.filter("link_a <> link_b").select(F.col("exit").alias("origin"), F.col("entry").alias("target")).distinct()
-    costs = saved(road_costs(edges, needed(pairs), paths=False), "road-costs")
+    needed = pairs.filter("link_a <> link_b").select(F.col("exit").alias("origin"), F.col("entry").alias("target")).distinct()
+    costs = saved(road_costs(graph(links, weight), needed, paths=False), "road-costs")
     steps = saved(decode(transitions(pairs, costs)), "steps")
+    return steps, p.select("trip_id").distinct().join(steps.select("trip_id").distinct(), "trip_id", "left_anti")
+
+
+def map_match(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, weight: str = "length", dedup_boundaries: bool = True, lines: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matched trips, unmatched trip ids, steps) of tracked points on links (index, a, b, length, geometry).
+
+    The links of shortest paths are listed only for those on decoded chains. Trips of one point, without candidates or
+    without a connected chain are unmatched. lines: with the matched trips' geometry.
+    """
+    from ..sources.tables import saved
+
+    steps, unmatched = match_steps(points, links, radius, most, weight)
     l = links.select("index", "a", "b")
     ends = steps.join(l.select(F.col("index").alias("link_a"), F.col("b").alias("exit")), "link_a").join(l.select(F.col("index").alias("link_b"), F.col("a").alias("entry")), "link_b")
-    found = routes(steps, saved(road_costs(edges, needed(ends)), "road-paths"), links, dedup_boundaries)
-    return found, p.select("trip_id").distinct().join(steps.select("trip_id").distinct(), "trip_id", "left_anti"), steps
+    needed = ends.filter("link_a <> link_b").select(F.col("exit").alias("origin"), F.col("entry").alias("target")).distinct()
+    found = routes(steps, saved(road_costs(graph(links, weight), needed), "road-paths"), links, dedup_boundaries, lines)
+    return found, unmatched, steps
