@@ -456,3 +456,17 @@ def test_whole_trips_over_batches():
         parts = [x["trip_id"].to_pylist() for x in chains.whole_trips(iter(t.to_batches(max_chunksize=size)))]
         assert sum(parts, []) == t["trip_id"].to_pylist()
         assert all(x[-1] != y[0] for x, y in zip(parts, parts[1:]))
+
+
+def test_match_unmatched_writes_no_table_of_transitions(spark, monkeypatch):
+    names, old = [], tables.saved
+    monkeypatch.setattr(tables, "saved", lambda df, name: names.append(name) or old(df, name))
+    Q.QUERIES["match_unmatched"](spark, DATA)
+    assert names == ["steps"]  # before: trip-points, candidates, layers, road-costs, steps, road-paths
+
+
+def test_match_path_writes_no_table_of_transitions(spark, monkeypatch):
+    names, old = [], tables.saved
+    monkeypatch.setattr(tables, "saved", lambda df, name: names.append(name) or old(df, name))
+    Q.QUERIES["match_path"](spark, DATA)
+    assert names == ["steps"]  # before: trip-points, candidates, layers, road-costs, steps, road-paths

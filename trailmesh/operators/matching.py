@@ -138,8 +138,8 @@ def dedup_consecutive(values):
     return F.filter(values, lambda v, i: (i == F.size(values) - 1) | ~v.eqNullSafe(F.get(values, i + 1)))
 
 
-def routes(steps: DataFrame, costs: DataFrame, links: DataFrame, dedup_boundaries: bool = True, lines: bool = True) -> DataFrame:
-    """(trip_id, path[, geometry]): links passed by each trip. dedup_boundaries takes the link that two steps share once; without, each step's links are cleaned by itself."""
+def routes(steps: DataFrame, costs: DataFrame, links: DataFrame, dedup_boundaries: bool = True) -> DataFrame:
+    """(trip_id, path, geometry): links passed by each trip. dedup_boundaries takes the link that two steps share once; without, each step's links are cleaned by itself."""
     l = links.select(F.col("index").alias("l"), "a", "b")
     s = steps.join(l.select(F.col("l").alias("link_a"), F.col("b").alias("exit")), "link_a").join(l.select(F.col("l").alias("link_b"), F.col("a").alias("entry")), "link_b")
     s = s.join(costs.select(F.col("origin").alias("exit"), F.col("target").alias("entry"), F.col("path").alias("between")), ["exit", "entry"], "left")
@@ -147,8 +147,6 @@ def routes(steps: DataFrame, costs: DataFrame, links: DataFrame, dedup_boundarie
     t = s.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("seq", own.alias("own")))).alias("o"))
     path = F.flatten(F.transform("o", lambda x: x.own))
     t = t.withColumn("path", path).withColumn("path", dedup_consecutive(F.col("path")) if dedup_boundaries else F.col("path")).drop("o")
-    if not lines:
-        return t
     lines = t.select("trip_id", F.posexplode("path").alias("k", "index")).join(links.select("index", F.col("geometry").alias("g")), "index")
     lines = lines.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("gs")).select("trip_id", geo.merge_lines(F.transform("gs", lambda x: x.g)).alias("geometry"))
     return t.join(lines, "trip_id", "left")
@@ -216,11 +214,11 @@ def match_steps_joined(points: DataFrame, links: DataFrame, radius: float = 200,
     return steps, p.select("trip_id").distinct().join(steps.select("trip_id").distinct(), "trip_id", "left_anti")
 
 
-def map_match(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, weight: str = "length", dedup_boundaries: bool = True, lines: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def map_match(points: DataFrame, links: DataFrame, radius: float = 200, most: int = 10, weight: str = "length", dedup_boundaries: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched trips, unmatched trip ids, steps) of tracked points on links (index, a, b, length, geometry).
 
     The links of shortest paths are listed only for those on decoded chains. Trips of one point, without candidates or
-    without a connected chain are unmatched. lines: with the matched trips' geometry.
+    without a connected chain are unmatched.
     """
     from ..sources.tables import saved
 
@@ -228,5 +226,5 @@ def map_match(points: DataFrame, links: DataFrame, radius: float = 200, most: in
     l = links.select("index", "a", "b")
     ends = steps.join(l.select(F.col("index").alias("link_a"), F.col("b").alias("exit")), "link_a").join(l.select(F.col("index").alias("link_b"), F.col("a").alias("entry")), "link_b")
     needed = ends.filter("link_a <> link_b").select(F.col("exit").alias("origin"), F.col("entry").alias("target")).distinct()
-    found = routes(steps, saved(road_costs(graph(links, weight), needed), "road-paths"), links, dedup_boundaries, lines)
+    found = routes(steps, saved(road_costs(graph(links, weight), needed), "road-paths"), links, dedup_boundaries)
     return found, unmatched, steps
