@@ -477,3 +477,11 @@ def test_link_loads_writes_no_table_of_transitions(spark, monkeypatch):
     monkeypatch.setattr(tables, "saved", lambda df, name: names.append(name) or old(df, name))
     Q.QUERIES["link_loads"](spark, DATA)
     assert names == ["steps", "road-paths"]  # before: trip-points, candidates, layers, road-costs, steps, road-paths
+
+
+
+def test_network_bandwidth_writes_no_table_of_transitions(spark, monkeypatch):
+    names, old = [], tables.saved
+    monkeypatch.setattr(tables, "saved", lambda df, name: names.append(name) or old(df, name))
+    Q.QUERIES["network_bandwidth"](spark, DATA)
+    assert names == ["steps", "road-paths"]  # before: trip-points, candidates, layers, road-costs, steps, road-paths
