@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmesh.functions import chains, geo, times
+from trailmesh.functions import chains, geo, overlap, times
 from trailmesh.operators import matching, modes, places, points, roads, stats, tracks
 from trailmesh.plans import queries as Q
 from trailmesh.sources import tables
@@ -485,3 +485,26 @@ def test_network_bandwidth_writes_no_table_of_transitions(spark, monkeypatch):
     monkeypatch.setattr(tables, "saved", lambda df, name: names.append(name) or old(df, name))
     Q.QUERIES["network_bandwidth"](spark, DATA)
     assert names == ["steps", "road-paths"]  # before: trip-points, candidates, layers, road-costs, steps, road-paths
+
+
+def _random_tracks_and_rails(spark, n_rails):
+    rng = np.random.default_rng(n_rails)
+    at = lambda n: [{"x": float(x), "y": float(y)} for x, y in rng.uniform(0, 1000, (n, 2))]
+    t = spark.createDataFrame([(1, i, at(5) if i % 7 else None) for i in range(60)], "phone_id long, track_no long, geometry array<struct<x:double,y:double>>")
+    r = spark.createDataFrame([(modes.RAILS[i % 3] if i % 5 else "tram", at(3)) for i in range(n_rails)], "type_TC string, geometry array<struct<x:double,y:double>>")
+    return t, r
+
+
+@pytest.mark.parametrize("n_rails", [0, 1, 60])
+def test_rail_shares_equal_the_join(spark, n_rails):
+    t, r = _random_tracks_and_rails(spark, n_rails)
+    got, want, bounded = ([tuple(x) for x in df.orderBy("track_no").collect()] for df in (modes.rail_overlap(t, r, 20), modes.rail_overlap_joined(t, r, 20), modes.rail_overlap(t, r, 20, most_bytes=0)))
+    assert len(got) == 60 and (n_rails < 2 or max(x[2] for x in got) > 0)
+    assert np.allclose(got, want, atol=1e-12) and np.allclose(bounded, want, atol=1e-12)
+
+
+def test_rail_grid_in_small_chunks():
+    rng = np.random.default_rng(2)
+    grid = overlap.Grid(rng.uniform(0, 1000, (4, 200)), rng.integers(0, 3, 200), 3, 20.0)
+    own = rng.uniform(-300, 1300, (4, 300))
+    assert np.array_equal(grid.near_lengths(own, most=50), grid.near_lengths(own))
