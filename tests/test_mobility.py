@@ -508,3 +508,10 @@ def test_rail_grid_in_small_chunks():
     grid = overlap.Grid(rng.uniform(0, 1000, (4, 200)), rng.integers(0, 3, 200), 3, 20.0)
     own = rng.uniform(-300, 1300, (4, 300))
     assert np.array_equal(grid.near_lengths(own, most=50), grid.near_lengths(own))
+
+
+def test_rail_shares_need_no_shuffle(spark):
+    """All tracks near one rail lay in few cells, so in few tasks of a join."""
+    t, r = _random_tracks_and_rails(spark, 4)
+    plan = modes.rail_overlap(t, r, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
