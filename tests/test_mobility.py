@@ -515,3 +515,9 @@ def test_rail_shares_need_no_shuffle(spark):
     t, r = _random_tracks_and_rails(spark, 4)
     plan = modes.rail_overlap(t, r, 20)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["mode_hybrid_near_rails", "mode_rules"])
+def test_modes_read_the_points_once(spark, name):
+    plan = Q.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id") == 2  # the points, and which phones are active
